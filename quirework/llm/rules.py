@@ -79,12 +79,12 @@ def group_of(lang_col: str) -> Column:
     return F.concat_ws("|", F.floor(F.log2(F.greatest(F.lit(1), F.col("n_tokens")))).cast("string"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")))
 
 
-def rejection_bands(measured: DataFrame, lang_col: str, min_tokens: int, width: float, floor: dict[str, float]) -> dict[str, dict[str, tuple[float, float]]]:
+def rejection_bands(measured: DataFrame, lang_col: str, min_tokens: int, width: dict[str, float], floor: dict[str, float]) -> dict[str, dict[str, tuple[float, float]]]:
     """For each language, power of two of the text's tokens, and metric: from which value to
     which a text passes. (The share of the largest entropy falls with a text's length.)
 
     Each metric is counted in bins over all texts of at least min_tokens tokens; the band
-    goes width times the distance from the median to the first and ninth decile beyond the
+    goes width times the distance from the median to the first and third quartile beyond the
     median, and the distance counts as at least floor. The driver gets the bins only.
     """
     each = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.floor(F.col(m) / BIN).alias("bin")) for m in METRICS])).alias("e")
@@ -96,8 +96,8 @@ def rejection_bands(measured: DataFrame, lang_col: str, min_tokens: int, width:
     for (lang, metric), hist in counts.items():
         bins = np.array(sorted(hist))
         share = np.cumsum([hist[b] for b in bins.tolist()]) / sum(hist.values())
-        low, mid, high = (float(bins[np.searchsorted(share, q)] + 0.5) * BIN for q in (0.1, 0.5, 0.9))
-        bands.setdefault(lang, {})[metric] = (mid - width * max(mid - low, floor[metric]), mid + width * max(high - mid, floor[metric]))
+        low, mid, high = (float(bins[np.searchsorted(share, q)] + 0.5) * BIN for q in (0.25, 0.5, 0.75))
+        bands.setdefault(lang, {})[metric] = (mid - width[metric] * max(mid - low, floor[metric]), mid + width[metric] * max(high - mid, floor[metric]))
     return bands
 
 
@@ -108,8 +108,8 @@ def apply_rules(
     path: str | None = None,
     keep: list[str] | None = None,
     min_tokens: int = 64,
-    width: float = 4.0,
-    floor: tuple[float, float, float] = (0.1, 0.02, 0.03),
+    width: tuple[float, float, float] = (9.0, 9.0, 6.0),
+    floor: tuple[float, float, float] = (0.02, 0.01, 0.005),
 ) -> DataFrame:
     """Columns of docs (those in keep, all but the text by default) with the measures, base_failed and kept.
 
@@ -125,7 +125,7 @@ def apply_rules(
     keep = [c for c in (keep or docs.columns) if c not in own and c != text_col]
     lang = F.col(lang_col) if lang_col in docs.columns else F.lit(None).cast("string")
     measured = materialise(measure(docs.withColumn("_lang", lang), [*keep, "_lang"], text_col, path), "measures")
-    bands = rejection_bands(measured, "_lang", min_tokens, width, dict(zip(METRICS, floor)))
+    bands = rejection_bands(measured, "_lang", min_tokens, dict(zip(METRICS, width)), dict(zip(METRICS, floor)))
     # As many cases as languages and sizes; beyond that a literal map would want to be a joined table.
     if len(bands) > 5000:
         raise ValueError(f"{len(bands)} groups of language and size; bands are for at most 5000")
