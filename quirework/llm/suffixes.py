@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .shared import materialise
 
-#: Bytes whose code orders suffixes; bytes of text in one batch of the index.
-K, CHUNK = 24, 2 << 20
+#: Bytes whose code orders suffixes; bytes of text that are coded at once, and in one batch of the index.
+K, CHUNK, BATCH = 24, 1 << 19, 1 << 22
 BASE = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 #: The columns of an array: two codes, the document (id and checksum), the run's first
@@ -201,24 +201,26 @@ def index_batches(docs: DataFrame, length: int, bits: int, checked: bool) -> Dat
     """shard, n, array and matches of every batch of docs(id, text): its suffix array by shards,
     and the runs that another document of the batch has earlier, which need no shard."""
 
-    def batch_of(held: list[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
-        pieces = [h[3] for h in held]
-        if not pieces:
-            return
-        p, lo, more, off, g, h = anchors(pieces, length)
+    def coded(held: list[tuple[int, int, int, bytes]]) -> Array:
+        p, lo, more, off, g, h = anchors([x[3] for x in held], length)
         ids, ths, base = (np.array([x[k] for x in held], t) for k, t in ((0, np.int64), (1, np.uint32), (2, np.int64)))
-        a = sort_array({"g": g, "h": h >> np.uint64(24), "id": ids[p], "th": ths[p], "lo": base[p] + lo, "more": more.astype(np.uint8), "off": off.astype(np.uint8)})
+        return {"g": g, "h": h >> np.uint64(24), "id": ids[p], "th": ths[p], "lo": base[p] + lo, "more": more.astype(np.uint8), "off": off.astype(np.uint8)}
+
+    def batch_of(parts: list[Array]) -> Iterator[pa.RecordBatch]:
+        if not parts:
+            return
+        a = sort_array(join_up(parts))
         first, later = first_of_equal(a)
         rows = []
         for kind, part in ((0, take(a, first)), (1, take(a, later))):
-            shard = (part["g"] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(part["g"]), np.int64)
+            shard = (part["g"] >> np.uint64(64 - bits)).astype(np.int64)
             cut = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(shard) else []
             for s, e in zip(cut, [*cut[1:], len(shard)]):
                 rows.append((int(shard[s]), kind, int(e - s), pack_array(take(part, slice(s, e)))))
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.binary()))], names=["shard", "kind", "n", "array"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, parts, size, all_size = [], [], 0, 0
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 raw = (text.as_py() or "").encode()
@@ -229,9 +231,13 @@ def index_batches(docs: DataFrame, length: int, bits: int, checked: bool) -> Dat
                     held.append((key, th, at, piece))
                     size += len(piece)
                     if size >= CHUNK:
-                        yield from batch_of(held)
+                        parts.append(coded(held))
+                        all_size += size
                         held, size = [], 0
-        yield from batch_of(held)
+                    if all_size >= BATCH:
+                        yield from batch_of(parts)
+                        parts, all_size = [], 0
+        yield from batch_of(parts + ([coded(held)] if held else []))
 
     return docs.select("id", "text").mapInArrow(scan, "shard bigint, kind int, n bigint, array binary")
 
@@ -356,8 +362,8 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     checked = bool(source.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count())
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    # Shards of some 32 MB of text, 800,000 suffixes: neither one nor its family outgrows a task.
-    bits = min(30, max(4, int(total >> 25).bit_length()))
+    # Shards of some 8 MB of text, 200,000 suffixes: neither one nor its family outgrows a task.
+    bits = min(30, max(4, int(total >> 23).bit_length()))
     arrays = index_batches(source, length, bits, checked)
     marks = materialise(arrays.groupBy("shard").applyInPandas(merge_shard, MARKS), "marks")
     per_doc = marks.groupBy("id", "th").agg(F.collect_list(F.struct("g", "lo", "more", "off")).alias("marks"))
