@@ -15,6 +15,8 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .shared import small_batches
+
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: (label, phrase) of the base: places where the words stand consecutively.
 PHRASES = (("gpl", "gnu general public license"), ("apache", "apache license"), ("cc-by", "cc by"), ("mit", "mit license"))
@@ -157,6 +159,7 @@ def scan_licenses(
     Null and empty texts have no words and empty labels. Rows are independent, so nothing
     is shuffled; other columns are ignored; repeated rows stay; an empty table gives none.
     """
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from .shared import materialise, small_batches
 from .tokens import ByteBPE, default_path, default_pattern
 
 
@@ -88,6 +88,7 @@ def pack(
     Repeated rows are packed as often as they stand; rows with null ids too. Other columns
     are ignored; files are the tokenizer, its ranks and its pattern; an empty table gives no rows. sequence_id is the group times 2^32 plus the bin.
     """
+    small_batches(docs.sparkSession)
     files = files or (default_path("byte_bpe_50k.json"), default_path("byte_bpe_50k.tiktoken"), default_pattern())
     pieces = materialise(cut_pieces(docs, id_col, text_col, capacity, files, end_id), "pieces")
     groups = max(1, round(pieces.count() / group_pieces))

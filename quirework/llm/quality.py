@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import small_batches
+
 #: Labelled rows the model is fitted on, at most: those with the smallest hash of their id.
 SAMPLE = 20_000
 FEATURES = ("log_words", "word_bytes", "distinct", "adjacent", "pairs", "upper", "digits", "symbols", "bangs", "bars", "stops", "other", "lines", "repeated_lines", "byte_entropy", "long_words")
@@ -205,6 +207,7 @@ def score_quality(docs: DataFrame, model: AdditiveModel, text_col: str = "text",
     """
     from pyspark.sql.types import StructType
 
+    small_batches(docs.sparkSession)
     docs = docs.drop("score", "predicted")
     at = docs.columns.index(text_col)
     schema = StructType([*docs.schema.fields, *StructType.fromDDL("score double, predicted int").fields])

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from .shared import materialise, small_batches
 from .tokens import Kept, PieceBPE, default_path
 
 SYMBOLS = "#*$%&|<>"
@@ -120,6 +120,7 @@ def apply_rules(
     Null texts have no words; null languages are one language; columns with a measure's name
     are replaced; repeated rows stay; an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     path = path or default_path("piece_bpe_32k.model")
     own = {c.split()[0] for c in COLUMNS.split(", ")} | {"base_failed", "kept", "_t", "_m", "_lang", "_group", "_band"}
     keep = [c for c in (keep or docs.columns) if c not in own and c != text_col]

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, materialise
+from .shared import components, materialise, small_batches
 
 BITS = 64
 #: Members of a bucket that one task compares; larger ones are split by further bits.
@@ -245,6 +245,7 @@ def dedup_simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     fingerprint, null if all its documents have none. Other columns are ignored; an empty
     table gives no rows. Ids must be integers.
     """
+    small_batches(docs.sparkSession)
     fps = materialise(fingerprints(docs, id_col, text_col), "fingerprints")
     nodes = materialise(fps.groupBy("fp").agg(F.min(id_col).cast("bigint").alias("node")), "nodes")
     # A null id has nothing to link by.

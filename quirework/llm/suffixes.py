@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from .shared import materialise, small_batches
 
 #: Bytes whose code orders suffixes; bytes of text that are coded at once, and in one batch of the index.
 K, CHUNK, BATCH = 24, 1 << 19, 1 << 22
@@ -355,6 +355,7 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     with null ids come first. Null and empty texts have no bytes. Ids must be integers. Other
     columns are ignored; an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType
     lowest = F.lit(-(1 << 63)).cast("bigint")
     source = docs.select(F.col(id_col).alias("given"), F.coalesce(F.col(id_col).cast("bigint"), lowest).alias("id"), F.col(text_col).alias("text"))
