@@ -16,6 +16,7 @@ alone the runs' bytes are fetched and compared string by string.
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 from collections.abc import Iterator
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from .shared import materialise, small_batches
 
 #: Bytes whose code orders suffixes; bytes of text that are coded at once, and in one batch of the index.
-K, CHUNK, BATCH = 24, 1 << 19, 1 << 22
+K, CHUNK, BATCH = 24, 1 << 19, 1 << 24
 BASE = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 #: The columns of an array: two codes, the document (id and checksum), the run's first
@@ -93,7 +94,8 @@ def anchors(pieces: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     hi = np.append(lo[1:], strings) - 1
     lo, hi = lo[inside[lo]], hi[inside[lo]]
     p = piece[lo]
-    return p, lo - (ends - sizes)[p], hi - lo, at[lo] - lo, code[at[lo]], part_codes(sums, lo, hi + length)
+    # Anchors have small codes; mixed once more, these spread evenly over the shards.
+    return p, lo - (ends - sizes)[p], hi - lo, at[lo] - lo, mix(~code[at[lo]]), part_codes(sums, lo, hi + length)
 
 
 def take(a: Array, at: np.ndarray) -> Array:
@@ -237,7 +239,9 @@ def index_batches(docs: DataFrame, length: int, bits: int, checked: bool) -> Dat
                     if all_size >= BATCH:
                         yield from batch_of(parts)
                         parts, all_size = [], 0
+                        give_back()
         yield from batch_of(parts + ([coded(held)] if held else []))
+        give_back()
 
     return docs.select("id", "text").mapInArrow(scan, "shard bigint, kind int, n bigint, array binary")
 
@@ -253,14 +257,26 @@ def _marks(a: Array, closed: bool) -> pd.DataFrame:
     return pd.DataFrame({"id": a["id"], "th": a["th"].astype(np.int64), "g": g, "lo": a["lo"], "more": a["more"].astype(np.int32), "off": a["off"].astype(np.int32)})
 
 
+def give_back() -> None:
+    """Freed memory that malloc holds on to returns to the system; a worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def merge_shard(rows: pd.DataFrame) -> pd.DataFrame:
     """One shard's family over its batches."""
     family, known = IndexFamily(), []
     for kind, n, blob in zip(rows["kind"], rows["n"], rows["array"]):
         a = unpack_array(blob, n)
         known.append(a) if kind else family.add(a)
+    del rows
     matches, open_ends = family.finish() if family.levels else (join_up(known), join_up([take(known[0], slice(0))]))
-    return pd.concat([_marks(join_up([matches, *known]), True), _marks(open_ends, False)], ignore_index=True)
+    out = pd.concat([_marks(join_up([matches, *known]), True), _marks(open_ends, False)], ignore_index=True)
+    del family, known, matches, open_ends
+    give_back()
+    return out
 
 
 def _compare(length: int):
