@@ -29,7 +29,7 @@ def one(spark, column):
     return spark.range(1).select(column).first()[0]
 
 
-@pytest.mark.parametrize(("lines", "joined"), [(["re-", "gion"], "region"), (["the pop\ue000", "ulation"], "the population"), (["three-", "dimensional"], "three-dimensional"), (["a", "b"], "a b"), ([], "")])
+@pytest.mark.parametrize(("lines", "joined"), [(["re-", "gion"], "region"), (["the pop\ue000", "ulation"], "the population"), (["three-\ue000", "dimensional"], "three-dimensional"), (["a", "b"], "a b"), ([], "")])
 def test_join_lines(spark, lines, joined):
     array = F.array(*map(F.lit, lines)).cast("array<string>")
     assert one(spark, text.join_lines(array)) == joined
