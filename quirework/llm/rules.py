@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialise, small_batches
+from .shared import join_small, materialise, small_batches
 from .tokens import Kept, PieceBPE, default_path
 
 SYMBOLS = "#*$%&|<>"
@@ -79,26 +78,25 @@ def group_of(lang_col: str) -> Column:
     return F.concat_ws("|", F.floor(F.log2(F.greatest(F.lit(1), F.col("n_tokens")))).cast("string"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")))
 
 
-def rejection_bands(measured: DataFrame, lang_col: str, min_tokens: int, width: dict[str, float], floor: dict[str, float]) -> dict[str, dict[str, tuple[float, float]]]:
-    """For each language, power of two of the text's tokens, and metric: from which value to
-    which a text passes. (The share of the largest entropy falls with a text's length.)
+def rejection_bands(measured: DataFrame, group: str, min_tokens: int, width: dict[str, float], floor: dict[str, float]) -> DataFrame:
+    """group and, for each metric, low_ and high_: from which value to which a text passes.
+    One row for each group that has a text of at least min_tokens tokens.
 
     Each metric is counted in bins over all texts of at least min_tokens tokens; the band
     goes width times the distance from the median to the first and third quartile beyond the
-    median, and the distance counts as at least floor. The driver gets the bins only.
+    median, and the distance counts as at least floor. Windows run over bins, never texts.
     """
     each = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.floor(F.col(m) / BIN).alias("bin")) for m in METRICS])).alias("e")
-    rows = measured.where(F.col("n_tokens") >= min_tokens).select(group_of(lang_col).alias("lang"), each).groupBy("lang", "e.metric", "e.bin").agg(F.count("*").alias("n")).collect()
-    counts: dict[tuple[str, str], dict[int, int]] = {}
-    for lang, metric, b, n in rows:
-        counts.setdefault((lang, metric), {})[b] = n
-    bands: dict[str, dict[str, tuple[float, float]]] = {}
-    for (lang, metric), hist in counts.items():
-        bins = np.array(sorted(hist))
-        share = np.cumsum([hist[b] for b in bins.tolist()]) / sum(hist.values())
-        low, mid, high = (float(bins[np.searchsorted(share, q)] + 0.5) * BIN for q in (0.25, 0.5, 0.75))
-        bands.setdefault(lang, {})[metric] = (mid - width[metric] * max(mid - low, floor[metric]), mid + width[metric] * max(high - mid, floor[metric]))
-    return bands
+    bins = measured.where(F.col("n_tokens") >= min_tokens).select(group, each).groupBy(group, "e.metric", "e.bin").agg(F.count("*").alias("n"))
+    whole = Window.partitionBy(group, "metric")
+    share = F.sum("n").over(whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)) / F.sum("n").over(whole)
+    bins = bins.withColumns({"share": share, "at": (F.col("bin") + 0.5) * BIN})
+
+    def band(m: str) -> list[Column]:
+        low, mid, high = (F.min(F.when((F.col("metric") == m) & (F.col("share") >= q), F.col("at"))) for q in (0.25, 0.5, 0.75))
+        return [(mid - width[m] * F.greatest(mid - low, F.lit(floor[m]))).alias(f"low_{m}"), (mid + width[m] * F.greatest(high - mid, F.lit(floor[m]))).alias(f"high_{m}")]
+
+    return bins.groupBy(group).agg(*[c for m in METRICS for c in band(m)])
 
 
 def apply_rules(
@@ -117,28 +115,22 @@ def apply_rules(
     are kept unless a metric of the public vocabulary lies outside the band of its language and size:
     characters per token, the share of byte-fallback tokens, and the tokens' entropy as a
     share of the largest their number allows. Texts under min_tokens tokens have no band.
-    Null texts have no words; null languages are one language; columns with a measure's name
-    are replaced; repeated rows stay; an empty table gives no rows.
+    Null texts have no words; null languages are one language; columns with the name of a
+    measure or of a band (low_, high_) are replaced; repeated rows stay; an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
     path = path or default_path("piece_bpe_32k.model")
-    own = {c.split()[0] for c in COLUMNS.split(", ")} | {"base_failed", "kept", "_t", "_m", "_lang", "_group", "_band"}
+    own = {c.split()[0] for c in COLUMNS.split(", ")} | {f"{side}_{m}" for m in METRICS for side in ("low", "high")} | {"base_failed", "kept", "_t", "_m", "_lang", "_group"}
     keep = [c for c in (keep or docs.columns) if c not in own and c != text_col]
     lang = F.col(lang_col) if lang_col in docs.columns else F.lit(None).cast("string")
-    measured = materialise(measure(docs.withColumn("_lang", lang), [*keep, "_lang"], text_col, path), "measures")
-    bands = rejection_bands(measured, "_lang", min_tokens, dict(zip(METRICS, width)), dict(zip(METRICS, floor)))
-    # As many cases as languages and sizes; beyond that a literal map would want to be a joined table.
-    if len(bands) > 5000:
-        raise ValueError(f"{len(bands)} groups of language and size; bands are for at most 5000")
-    wide = F.lit(None).cast("map<string,array<double>>")
-    if bands:
-        wide = F.from_json(F.lit(json.dumps({g: [x for m in METRICS for x in band[m]] for g, band in bands.items()})), "map<string,array<double>>")
-    band = F.try_element_at(wide, F.col("_group"))
-
-    def outside(k: int) -> Column:
-        return F.coalesce(~F.col(METRICS[k]).between(F.get(F.col("_band"), 2 * k), F.get(F.col("_band"), 2 * k + 1)), F.lit(False))
+    measured = materialise(measure(docs.withColumn("_lang", lang), [*keep, "_lang"], text_col, path), "measures").withColumn("_group", group_of("_lang"))
+    bands = materialise(rejection_bands(measured, "_group", min_tokens, dict(zip(METRICS, width)), dict(zip(METRICS, floor))), "bands")
+
+    def outside(m: str) -> Column:
+        return F.coalesce(~F.col(m).between(F.col(f"low_{m}"), F.col(f"high_{m}")), F.lit(False))
 
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    odd = (F.col("n_tokens") >= min_tokens) & (outside(0) | outside(1) | outside(2))
-    measured = measured.withColumn("_group", group_of("_lang")).withColumn("_band", band)
-    return measured.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~odd).drop("_lang", "_group", "_band")
+    odd = (F.col("n_tokens") >= min_tokens) & (outside(METRICS[0]) | outside(METRICS[1]) | outside(METRICS[2]))
+    judged = join_small(measured, bands, ["_group"], "left", bands.count())
+    judged = judged.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~odd)
+    return judged.drop("_lang", "_group", *[f"{side}_{m}" for m in METRICS for side in ("low", "high")])

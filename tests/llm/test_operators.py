@@ -1,4 +1,5 @@
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -247,6 +248,19 @@ def test_rules(spark):
         r = got[key]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
         assert r.base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0]) and not (r.base_failed and r.kept)
+    # The bands once more, from the sorted bins of each group.
+    groups, lang = {}, {r.doc_id: r.lang for r in docs.unionByName(extra).collect()}
+    for r in got.values():
+        if r.n_tokens >= 64:
+            groups.setdefault((lang[r.doc_id], int(np.log2(r.n_tokens))), []).append(r)
+    for rows in groups.values():
+        odd = np.zeros(len(rows), bool)
+        for m, width, least in zip(rules.METRICS, (9.0, 9.0, 6.0), (0.02, 0.01, 0.005)):
+            x = np.array([r[m] for r in rows])
+            bins = np.sort(np.floor(x / rules.BIN))
+            low, mid, high = ((bins[math.ceil(q * len(bins)) - 1] + 0.5) * rules.BIN for q in (0.25, 0.5, 0.75))
+            odd |= (x < mid - width * max(mid - low, least)) | (x > mid + width * max(high - mid, least))
+        assert [r.kept for r in rows] == [not r.base_failed and not o for r, o in zip(rows, odd.tolist())]
 
 
 @pytest.mark.parametrize("chunk", [1 << 19, 300])
