@@ -5,6 +5,7 @@ A page is a bounded group; documents never meet in one task.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -84,3 +85,22 @@ def match_captions(blocks: DataFrame) -> DataFrame:
         return pd.DataFrame(found, columns=["doc_id", "page_number", "caption_ord", "figure_ord"])
 
     return blocks.groupBy("doc_id", "page_number").applyInPandas(page, "doc_id bigint, page_number int, caption_ord int, figure_ord int")
+
+
+def drop_overlapping(images: DataFrame, share: float = 0.8) -> DataFrame:
+    """images without those that lie over share of the smaller area on one kept before them,
+    in order of ord on each page. Which stay depends on which stayed, so a page is one group."""
+
+    def keep(page: pd.DataFrame) -> pd.DataFrame:
+        page = page.sort_values("ord", kind="stable")
+        box = page[["x0", "y0", "x1", "y1"]].to_numpy(float)
+        area = np.prod(box[:, 2:] - box[:, :2], axis=1)
+        kept: list[int] = []
+        for i in range(len(box)):
+            b = box[kept]
+            common = np.prod(np.maximum(0, np.minimum(b[:, 2:], box[i, 2:]) - np.maximum(b[:, :2], box[i, :2])), axis=1)
+            if not (common > share * np.minimum(area[kept], area[i])).any():
+                kept.append(i)
+        return page.iloc[kept]
+
+    return images.groupBy("doc_id", "page_number").applyInPandas(keep, images.schema)

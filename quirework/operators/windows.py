@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 def islands(df: DataFrame, keys: list[str], order: list[str], flag: Column, least: int = 2) -> DataFrame:
     """Adds island and island_size to the rows of runs of flagged rows, at least so long."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    df = df.withColumn("_flag", flag).withColumn("island", F.row_number().over(w) - F.row_number().over(Window.partitionBy(*keys, "_flag").orderBy(*order)))
+    so_far = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    # The rows without a flag so far: one sort, and rows alike in keys, order and flag may swap.
+    df = df.withColumn("_flag", flag).withColumn("island", F.count_if(~F.coalesce("_flag", F.lit(False))).over(so_far))
     size = F.count("*").over(Window.partitionBy(*keys, "_flag", "island"))
     return df.withColumn("island_size", size).where(F.col("_flag") & (F.col("island_size") >= least)).drop("_flag")
 

@@ -112,11 +112,11 @@ def document_title(spark, sf_dir):
     return blocks(spark, sf_dir).where("type = 'heading'").groupBy("doc_id").agg(F.min_by("content", "ord").alias("title"))
 
 
-@query("""with r as (select l_orderkey, l_linenumber, l_returnflag = 'N' as f, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) - row_number() over (partition by l_orderkey, l_returnflag = 'N' order by l_linenumber, l_partkey, l_suppkey) as island from lineitem),
+@query("""with r as (select l_orderkey, l_linenumber, l_returnflag = 'N' as f, sum((l_returnflag <> 'N')::int) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_returnflag rows unbounded preceding) as island from lineitem),
 s as (select *, count(*) over (partition by l_orderkey, f, island) as island_size from r) select l_orderkey, l_linenumber, island_size from s where f and island_size >= 2""")
 def reference_runs(spark, sf_dir):
     """Carrier: the lines of an order; those flagged N stand for reference blocks."""
-    return windows.islands(table(spark, sf_dir, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"], F.col("l_returnflag") == "N").select("l_orderkey", "l_linenumber", "island_size")
+    return windows.islands(table(spark, sf_dir, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"], F.col("l_returnflag") == "N").select("l_orderkey", "l_linenumber", "island_size")
 
 
 @query(f"with {BLOCKS}, e as (select doc_id, ord, case when type = 'heading' and length(content) % 3 = 0 then true when type = 'heading' then false end as ev from blocks) select doc_id, ord, coalesce(last_value(ev ignore nulls) over (partition by doc_id order by ord rows unbounded preceding), false) as in_section from e")
@@ -373,3 +373,6 @@ def figure_components(spark, sf_dir):
 def caption_match(spark, sf_dir):
     """Rows only: a greedy one-to-one match."""
     return grouped.match_captions(blocks(spark, sf_dir))
+
+
+from . import structure  # noqa: E402, F401  it registers its queries here

@@ -1,4 +1,5 @@
 import __spark_entry__
+import numpy as np
 import oracle
 import pytest
 from pyspark.sql import functions as F
@@ -70,3 +71,24 @@ def test_reading_order(spark):
 def test_reflow(spark, lines, blocks):
     b = [(1, 1, k, str(k), c, "paragraph", 27, 31 + 40 * k, 550, 61 + 40 * k, 25) for k, c in enumerate(lines)]
     assert grouped.reflow(spark.createDataFrame(b, BLOCK)).count() == blocks
+
+
+def test_overlapping_images(spark):
+    rng = np.random.default_rng(3)
+    x, y, w, h = (rng.integers(lo, hi, 120).astype(float).tolist() for lo, hi in ((0, 60), (0, 60), (20, 60), (20, 60)))
+    rows = [(1, int(i % 3), i, x[i], y[i], x[i] + w[i], y[i] + h[i]) for i in range(120)]
+    got = grouped.drop_overlapping(spark.createDataFrame(rows, "doc_id long, page_number int, ord int, x0 double, y0 double, x1 double, y1 double"))
+    kept = []
+    for r in rows:
+        def common(k, r=r):
+            return max(0, min(r[5], k[5]) - max(r[3], k[3])) * max(0, min(r[6], k[6]) - max(r[4], k[4]))
+
+        area = lambda k: (k[5] - k[3]) * (k[6] - k[4])
+        if all(k[1] != r[1] or common(k) <= 0.8 * min(area(k), area(r)) for k in kept):
+            kept.append(r)
+    assert sorted(r.ord for r in got.collect()) == [r[2] for r in kept] and len(kept) < 120
+
+
+@pytest.mark.parametrize(("k", "kind"), [(0, "other"), (1, "other"), (2, "title"), (3, "figure_caption"), (4, "other"), (5, "heading"), (6, "heading"), (7, "heading"), (10, "author"), (11, "author"), (12, "paragraph"), (13, "heading"), (14, "reference"), (15, "reference"), (16, "paragraph")])
+def test_block_types(spark, k, kind):
+    assert catalog.QUERIES["block_classifier_samples"](spark, SF).where(f"k = {k}").first().block_type == kind
