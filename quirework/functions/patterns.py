@@ -133,3 +133,52 @@ NUMBERED_REPLY = r"^\s*(\d+)\s*[\.\)\-:]?\s*(.+)"
 # Hosts a request may name, and image types that go by their own name.
 LOOPBACK = ("127.0.0.1", "localhost", "[::1]", "::1")
 IMAGE_TYPES = ("png", "jpeg", "webp", "gif")
+
+# The offline glossary, and its headings.
+GLOSSARY = {
+    "complicated crown-root fracture": "شکستگی پیچیده تاج-ریشه",
+    "crown-root fracture": "شکستگی تاج-ریشه",
+    "crown fracture": "شکستگی تاج",
+    "reattachment procedure": "فرایند اتصال مجدد",
+    "reattachment": "اتصال مجدد",
+    "single visit technique": "تکنیک تک‌جلسه‌ای",
+    "periapical radiograph": "رادیوگرافی پری‌آپیکال",
+    "intraoral photograph": "تصویر داخل‌دهانی",
+    "intraoral view": "نمای داخل‌دهانی",
+    "biological width": "عرض بیولوژیک",
+    "periodontal ligament": "رباط پریودنتال",
+    "periodontal": "پریودنتال",
+    "pulpal exposure": "اکسپوز پالپ",
+    "pulp tissue": "بافت پالپ",
+    "pulp": "پالپ",
+    "root canal treatment": "درمان ریشه دندان",
+    "endodontic treatment": "درمان اندودنتیک",
+    "composite resin": "کامپوزیت رزین",
+    "radiolucent lesion": "ضایعه رادیولوسنت",
+    "radiolucent": "رادیولوسنت",
+    "radiopaque": "رادیواپک",
+    "osteotomy": "استئوتومی",
+    "gingivectomy": "ژنژیوکتومی",
+    "histopathology": "هیستوپاتولوژی",
+    "rubber dam": "رابردم",
+    "fiber post": "پست فایبر",
+    "light-curing": "لایت کیورینگ",
+    "fractured fragment": "قطعه شکسته",
+    "coronal fragment": "قطعه تاجی",
+}
+HEADING_RENDERINGS = {
+    "abstract": "چکیده",
+    "introduction": "۱. مقدمه",
+    "1. introduction": "۱. مقدمه",
+    "case report": "گزارش مورد (Case Report)",
+    "case presentation": "شرح مورد بالینی (Case Presentation)",
+    "case description": "توصیف مورد (Case Description)",
+    "discussion": "بحث و بررسی",
+    "conclusion": "نتیجه‌گیری",
+    "conclusions": "نتیجه‌گیری‌ها",
+    "references": "منابع و مراجع",
+    "acknowledgement": "تقدیر و تشکر",
+    "acknowledgments": "تقدیر و تشکر",
+    "conflict of interests": "تضاد منافع",
+    "conflicts of interest": "تضاد منافع",
+}

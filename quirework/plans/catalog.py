@@ -375,4 +375,4 @@ def caption_match(spark, sf_dir):
     return grouped.match_captions(blocks(spark, sf_dir))
 
 
-from . import structure  # noqa: E402, F401  it registers its queries here
+from . import exchange, structure  # noqa: E402, F401  they register their queries here
