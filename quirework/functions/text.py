@@ -94,3 +94,10 @@ def escape_html(c: Column) -> Column:
     for bad, good in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
         c = F.replace(c, F.lit(bad), F.lit(good))
     return c
+
+
+def post_process(c: Column, kind: Column) -> Column:
+    """Single spaces (tables keep their lines), no break markers, and runs that stand twice once."""
+    c = F.replace(c, F.lit(P.HYPHEN_BREAK), F.lit(""))
+    plain = F.when(kind == "table", strip(F.regexp_replace(c, r"[ \t]+", " "))).otherwise(strip(F.regexp_replace(c, r"(?U)\s+", " ")))
+    return F.when(kind.isin("paragraph", "heading", "title"), collapse_repeats(plain)).otherwise(plain)

@@ -3,7 +3,7 @@ so ranges are residual conditions of a hash join and never a product of tables."
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PAGE_WIDTH, FULL = 600, 0.60
@@ -59,3 +59,16 @@ def page_breaks(blocks: DataFrame) -> DataFrame:
     first = blocks.where("type not in ('figure', 'figure_caption', 'table')").groupBy("doc_id", "page_number").agg(F.min(F.struct("ord", "content", "type")).alias("f"))
     both = last.join(first.withColumn("page_number", F.col("page_number") - 1), ["doc_id", "page_number"])
     return both.where(~F.col("l.content").rlike(r"[.!?:;»\"]$") & F.col("f.content").rlike(r"^\p{Ll}")).select("doc_id", "page_number", F.col("l.ord").alias("last_ord"), F.col("f.ord").alias("first_ord"))
+
+
+def absorb_panels(images: DataFrame, primary: Column, height: float = 800.0) -> DataFrame:
+    """Images that are panels of a figure, with that figure's ord as primary_ord: of the primary
+    images of their page that share 0.4 of the smaller width and are near in height, the first."""
+    box = ["x0", "y0", "x1", "y1"]
+    figures = images.where(primary).select(F.col("doc_id").alias("f_doc"), F.col("page_number").alias("f_page"), F.col("ord").alias("primary_ord"), *[F.col(c).alias(f"f_{c}") for c in box])
+    common = F.least("x1", "f_x1") - F.greatest("x0", "f_x0")
+    narrow = F.least(F.col("x1") - F.col("x0"), F.col("f_x1") - F.col("f_x0"))
+    gap = F.least(F.abs(F.col("y0") - F.col("f_y1")), F.abs(F.col("f_y0") - F.col("y1")))
+    near = (common >= 0.4 * F.when(narrow == 0, 1).otherwise(narrow)) & (gap <= max(120.0, 0.35 * height))
+    joined = images.where(~primary).join(figures, (F.col("doc_id") == F.col("f_doc")) & (F.col("page_number") == F.col("f_page")) & near)
+    return joined.groupBy("doc_id", "page_number", "ord").agg(F.min("primary_ord").alias("primary_ord"))

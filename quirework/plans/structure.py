@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import predicates as p
-from ..operators import grouped, rendering
+from ..functions import text as t
+from ..operators import grouped, layout, rendering
 from .catalog import BLOCKS, blocks, inline, query, table
 
 
@@ -198,3 +199,24 @@ def duplicate_images(spark, sf_dir):
     """Rows only: each image is held against those kept before it. Carrier: blocks moved together are images."""
     near = blocks(spark, sf_dir).withColumns({"y1": F.col("y1") - F.col("y0") + F.floor(F.col("y0") / 8), "y0": F.floor(F.col("y0") / 8)})
     return grouped.drop_overlapping(near.select("doc_id", "page_number", "ord", *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]))
+
+
+@query(f"""with {BLOCKS}, i as (select * from blocks where type in ('table', 'reference')), f as (select * from i where type = 'table')
+select i.doc_id, i.page_number, i.ord, min(f.ord) as primary_ord from i join f on i.doc_id = f.doc_id and i.page_number = f.page_number and i.type = 'reference'
+and least(i.x1, f.x1) - greatest(i.x0, f.x0) >= 0.4::double * least(i.x1 - i.x0, f.x1 - f.x0) and least(abs(i.y0 - f.y1), abs(f.y0 - i.y1)) <= 280 group by 1, 2, 3""")
+def panel_absorb(spark, sf_dir):
+    """Carrier: tables are figures with a caption, references the other images."""
+    return layout.absorb_panels(blocks(spark, sf_dir).where("type in ('table', 'reference')"), F.col("type") == "table")
+
+
+@query(f"with {BLOCKS} select doc_id, ord, json_object('id', id, 'type', type, 'page', page_number, 'bbox', json_object('x0', x0, 'y0', y0, 'x1', x1, 'y1', y1))::varchar as block from blocks")
+def block_json(spark, sf_dir):
+    bbox = F.struct("x0", "y0", "x1", "y1").alias("bbox")
+    return blocks(spark, sf_dir).select("doc_id", "ord", F.to_json(F.struct("id", "type", F.col("page_number").alias("page"), bbox)).alias("block"))
+
+
+@query()
+def post_process(spark, sf_dir):
+    """Rows only: a backreference, which the oracle's engine lacks."""
+    done = blocks(spark, sf_dir).withColumn("content", t.post_process(F.col("content"), F.col("type")))
+    return done.where((F.col("content") != "") | (F.col("type") == "figure")).select("doc_id", "ord", "content")

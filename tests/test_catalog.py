@@ -92,3 +92,9 @@ def test_overlapping_images(spark):
 @pytest.mark.parametrize(("k", "kind"), [(0, "other"), (1, "other"), (2, "title"), (3, "figure_caption"), (4, "other"), (5, "heading"), (6, "heading"), (7, "heading"), (10, "author"), (11, "author"), (12, "paragraph"), (13, "heading"), (14, "reference"), (15, "reference"), (16, "paragraph")])
 def test_block_types(spark, k, kind):
     assert catalog.QUERIES["block_classifier_samples"](spark, SF).where(f"k = {k}").first().block_type == kind
+
+
+def test_post_process(spark):
+    twice = "a line of over twenty letters"
+    assert one(spark, text.post_process(F.lit(f" {twice}  {twice}\n x"), F.lit("paragraph"))) == f"{twice} x"
+    assert one(spark, text.post_process(F.lit("a  b\n c"), F.lit("table"))) == "a b\n c"
