@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirework.llm.linededup import dedup_lines
-from quirework.llm.mixing import WORD, mix_sources
+from quirework.llm.mixing import mix_sources
 from quirework.llm.packing import pack
 from quirework.llm.quality import score_quality, train
 from quirework.llm.shared import materialise
@@ -37,18 +37,14 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document stands as often as the mix takes it whole, and once more with its first
-    words where the mix takes a part; so a source's words are what its quota asks for.
+    """Each document stands, whole, as often as the mix takes it; a source's words differ from
+    its quota by at most half a document and half a block for each of its shards.
 
-    Documents of which the mix takes nothing go, empty ones among them.
+    Documents that the mix does not take go, empty ones among them.
     """
-    taken = mix_sources(docs, carry=["text", "lang", "n_chars"])
-    whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    rest = (F.col("taken") - whole * F.col("size")).cast("int")
-    words = F.regexp_extract_all("text", F.lit(f"({WORD})"), 1)
-    part = F.when(rest > 0, F.array(F.array_join(F.slice(words, 1, rest), " "))).otherwise(F.array().cast("array<string>"))
-    texts = F.concat(F.array_repeat("text", whole), part)
-    out = taken.where("taken > 0").select("doc_id", F.explode(texts).alias("text"), "lang", "source")
+    taken = mix_sources(docs, carry=["text", "lang", "n_chars"], whole=True)
+    times = F.array_repeat("text", (F.col("taken") / F.col("size")).cast("int"))
+    out = taken.where("taken > 0").select("doc_id", F.explode(times).alias("text"), "lang", "source")
     return out.withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
 

@@ -77,6 +77,7 @@ def mix_sources(
     block: int = 32,
     seed: int = 17,
     carry: list[str] | None = None,
+    whole: bool = False,
 ) -> DataFrame:
     """For every document how many of its words the mix takes, repeats counted.
 
@@ -92,6 +93,10 @@ def mix_sources(
     the number of documents: neither the shards of a source nor the documents of a shard
     outgrow one task, and a source with a third of all rows has a third of all shards.
 
+    With whole, the rest of a shard's quota is chosen by documents: along the seeded order,
+    those whose middle lies within it. So taken is always a multiple of size, and a shard
+    misses its quota by half a document and half a block at most.
+
     Returns id, size, source_size, target, taken and the columns named in carry. Null texts
     have size 0 and take 0; a null source is one source, the last; rows with equal ids are
     separate documents; an empty table gives no rows.
@@ -130,7 +135,10 @@ def mix_sources(
         return chosen(k) * block + (x - k * block) * (chosen(k + 1) - chosen(k))
 
     laid = laid.withColumn("_start", start)
-    part = words(F.col("_end")) - words(F.col("_end") - F.col("size"))
+    if whole:
+        part = F.when(2 * F.col("_end") - F.col("size") <= 2 * block * F.col("_rest"), F.col("size")).otherwise(0)
+    else:
+        part = words(F.col("_end")) - words(F.col("_end") - F.col("size"))
     taken = F.when(F.col("size") > 0, F.col("_rounds") * F.col("size") + part).otherwise(0).cast("bigint")
     return laid.select(F.col("_id").alias(id_col), F.col("size"), "source_size", "target", taken.alias("taken"), F.col("source").alias(source_col), *[F.col(f"_c{i}").alias(c) for i, c in enumerate(kept)])
 
