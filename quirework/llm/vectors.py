@@ -16,8 +16,20 @@ from .shared import components, materialise
 SAMPLE = 20_000
 #: Vectors that share a cell on average, cells at most, and vectors on one side of a block.
 CELL, MAX_CELLS, BLOCK = 512, 1024, 2048
-#: How far beyond the border of its own cell a vector is looked for.
-MARGIN = 0.1
+#: Vectors that are dealt at once; each may go to every cell.
+SLICE = 256
+
+
+def margin_for(threshold: float) -> float:
+    """How far beyond the border of its own cell a vector must be looked for.
+
+    Vectors at a cosine of threshold are sqrt(2 - 2 threshold) apart, so of two on both
+    sides of a border one is within half of that; rounding is left some room.
+    """
+    return float(np.sqrt(max(0.0, (1 - threshold) / 2))) + 1e-6
+
+
+MARGIN = margin_for(0.9)
 
 
 def fit_cells(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
@@ -61,12 +73,12 @@ def _forest(hit: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.nd
     return u[u != v], v[u != v]
 
 
-def dedup_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, margin: float = MARGIN) -> DataFrame:
+def dedup_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, margin: float | None = None) -> DataFrame:
     """id, n_links, component_id and kept for every vector, by cosine >= threshold.
 
     Exact copies are one vector from the start. Cells are fitted on a bounded sample, every
     vector has a home, and it is also compared with the cells whose border is nearer than
-    margin; so a link is lost only if both ends lie beyond it (tests measure the recall).
+    margin. Unless margin is given, it is wide enough that no link is lost (margin_for).
     The cells' members are dealt to blocks of bounded size, a hot cell to many; each pair of
     blocks is one product, which gives counts and a spanning forest, never its pairs.
 
@@ -76,6 +88,7 @@ def dedup_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
     equal ids are separate vectors of one id. Extra columns are ignored; an empty table
     gives no rows.
     """
+    margin = margin_for(threshold) if margin is None else margin
     kind = vectors.schema[id_col].dataType
     rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     big = F.lit(1.7e308)
@@ -98,11 +111,13 @@ def dedup_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
     gaps = np.linalg.norm(centres[:, None, :] - centres[None, :, :], axis=2)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for batch in batches:
-            y = batch.column("v").flatten().to_numpy().reshape(-1, dim)
-            y = y / np.abs(y).max(1, keepdims=True)
-            y = y / np.linalg.norm(y, axis=1, keepdims=True)
-            yield (batch, y, *_assign(y, centres, gaps, margin))
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(at, SLICE)
+                y = batch.column("v").flatten().to_numpy().reshape(-1, dim)
+                y = y / np.abs(y).max(1, keepdims=True)
+                y = y / np.linalg.norm(y, axis=1, keepdims=True)
+                yield (batch, y, *_assign(y, centres, gaps, margin))
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, other = np.zeros(cells, np.int64), np.zeros(cells, np.int64)

@@ -3,6 +3,10 @@
 from collections import Counter
 
 import corpus_pipeline
+import numpy as np
+import pytest
+
+from quirework.llm import vectors
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,3 +22,15 @@ def test_mix_takes_whole_documents(spark):
     taken = Counter(r.source for r in got)
     shards = 20
     assert taken["s0"] == 400 and abs(taken["s1"] - 200) <= shards
+
+
+@pytest.mark.parametrize("threshold", [0.9, 0.75])
+def test_no_link_is_lost_between_cells(spark, monkeypatch, threshold):
+    monkeypatch.setattr(vectors, "CELL", 32)
+    x = np.random.default_rng(4).normal(size=(1500, 8))
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    hit = unit @ unit.T >= threshold
+    np.fill_diagonal(hit, False)
+    got = vectors.dedup_vectors(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>"), threshold=threshold)
+    n = dict(got.select("vec_id", "n_links").collect())
+    assert [n[i] for i in range(len(x))] == hit.sum(1).tolist()
