@@ -11,12 +11,17 @@ from pyspark.sql import functions as F
 
 #: Rows of a dimension that may be broadcast: 200,000 narrow rows stay below some 20 MB.
 BROADCAST_ROWS = 200_000
+#: Folders that materialise wrote and that are still there, by name.
+_written: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder in spark.checkpoint.dir. Where it is unset a local one, but on a local master
+    only: executors of a cluster do not see the driver's disk."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quirework-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -34,17 +39,31 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back.
 
     This cuts the lineage: a lost executor costs the tasks since this table, not
-    the passes before it. The folder goes when the driver's JVM ends.
+    the passes before it. The folder goes at release, or when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quirework/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    files, where = _folder(spark, path)
+    files.deleteOnExit(where)
+    _written[path.rpartition("/")[2]] = path
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _folder(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes what materialise wrote for these tables, after its last use; no other files."""
+    for table in tables:
+        spark = table.sparkSession
+        for name in {f.split("/")[-2] for f in table.inputFiles()} & set(_written):
+            files, where = _folder(spark, _written.pop(name))
+            files.delete(where, True)
+
+
 def join_small(left: DataFrame, small: DataFrame, on: list[str], how: str, rows: int) -> DataFrame:
     """left joined with a dimension of so many rows: broadcast up to BROADCAST_ROWS,
     beyond them an ordinary join, whose large partitions adaptive execution splits."""

@@ -12,29 +12,42 @@ earliest stays and the later are long matches, known without a look at the text.
 equal size merge, as a binary counter carries. In the end suffixes that agree in their
 first K bytes but not in their runs are what the ends of matches look like; for those
 alone the runs' bytes are fetched and compared string by string.
+
+A batch is cut by a few bits only; where there are more shards than that, further passes
+cut on, so the number of pieces grows with the input and not with its square. A K-byte
+string that very many different runs share makes its shard large: such a shard is split by
+the runs' codes, and its strings are compared by an aggregation over their own codes.
 """
 
 from __future__ import annotations
 
 import ctypes
-import zlib
+import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise, small_batches
+from .shared import join_small, materialise, release, small_batches
 
 #: Bytes whose code orders suffixes; bytes of text that are coded at once, and in one batch of the index.
 K, CHUNK, BATCH = 24, 1 << 19, 1 << 24
 BASE = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
-#: The columns of an array: two codes, the document (id and checksum), the run's first
-#: string, how many more it has, and how far from the first the anchor lies.
-FIELDS = {"g": np.uint64, "h": np.uint64, "id": np.int64, "th": np.uint32, "lo": np.int64, "more": np.uint8, "off": np.uint8}
+#: Bits of the code by which one pass cuts; suffixes that a pass holds at once.
+STEP_BITS, STEP_ROWS = 10, 400_000
+#: Suffixes of a shard beyond which it is split by the runs' codes, and runs beyond which
+#: those of one first code are compared by an aggregation.
+SHARD_ROWS, HOT_RUNS = 1 << 21, 1024
+#: The columns of an array: two codes, the document (id and 127 bits of its digest), the
+#: run's first string, how many more it has, and how far from the first the anchor lies.
+FIELDS = {"g": np.uint64, "h": np.uint64, "id": np.int64, "th": np.int64, "tl": np.int64, "lo": np.int64, "more": np.uint8, "off": np.uint8}
+#: What tells a document from others of its id.
+DOC = ["id", "th", "tl"]
 Array = dict[str, np.ndarray]
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -113,7 +126,7 @@ def sort_array(a: Array) -> Array:
     same = a["g"][1:] == a["g"][:-1]
     tied = np.flatnonzero(np.append(False, same) | np.append(same, False))
     if len(tied):
-        order = np.lexsort((a["lo"][tied], a["th"][tied], a["id"][tied], a["h"][tied], a["g"][tied]))
+        order = np.lexsort([a[k][tied] for k in ("lo", "tl", "th", "id", "h", "g")])
         for k in a:
             a[k][tied] = a[k][tied[order]]
     return a
@@ -125,7 +138,9 @@ def first_of_equal(a: Array) -> tuple[np.ndarray, np.ndarray]:
     again = np.append(False, (a["g"][1:] == a["g"][:-1]) & (a["h"][1:] == a["h"][:-1]))
     first = np.flatnonzero(~again)
     lead = np.repeat(first, np.diff(np.append(first, len(again))))
-    other = (a["id"] != a["id"][lead]) | (a["th"] != a["th"][lead]) | (a["lo"] != a["lo"][lead])
+    other = np.zeros(len(again), bool)
+    for k in (*DOC, "lo"):
+        other |= a[k] != a[k][lead]
     return ~again, again & other
 
 
@@ -170,11 +185,11 @@ class IndexFamily:
             (size, a), (_, b) = self.levels.pop(), self.levels.pop()
             self.levels.append((2 * size, sort_array(join_up([b, a]))))
 
-    def finish(self) -> tuple[Array, Array]:
-        """All later runs, and the runs whose first K bytes also begin another run."""
+    def finish(self, every: bool = False) -> tuple[Array, Array]:
+        """All later runs, and the runs whose first K bytes also begin another run, or every run."""
         a = sort_array(join_up([x for _, x in self.levels]))
         same = a["g"][1:] == a["g"][:-1]
-        open_ends = take(a, np.append(False, same) | np.append(same, False))
+        open_ends = a if every else take(a, np.append(False, same) | np.append(same, False))
         return join_up(self.matches or [take(a, np.zeros(len(a["g"]), bool))]), open_ends
 
 
@@ -199,62 +214,137 @@ def unpack_array(blob: bytes, n: int) -> Array:
     return out
 
 
-def index_batches(docs: DataFrame, length: int, bits: int, checked: bool) -> DataFrame:
-    """shard, n, array and matches of every batch of docs(id, text): its suffix array by shards,
-    and the runs that another document of the batch has earlier, which need no shard."""
+def digest(raw: bytes, known: bool) -> tuple[int, int]:
+    """127 bits of a text's SHA-256 as two longs; the first is negative for a null id."""
+    th, tl = struct.unpack(">qq", hashlib.sha256(raw).digest()[:16])
+    return th & ((1 << 63) - 1) if known else th | -(1 << 63), tl
+
+
+def digest_columns(raw: Column, known: Column) -> list[Column]:
+    """What digest gives, in Spark."""
+    code = F.sha2(raw, 256)
+    th, tl = (F.conv(F.substring(code, at, 16), 16, -10).cast("bigint") for at in (1, 17))
+    return [F.when(known, th.bitwiseAND(F.lit((1 << 63) - 1))).otherwise(th.bitwiseOR(F.lit(-(1 << 63)).cast("bigint"))).alias("th"), tl.alias("tl")]
+
+
+ARRAYS = "shard bigint, kind int, n bigint, array binary"
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.binary()))], names=["shard", "kind", "n", "array"])
+
 
-    def coded(held: list[tuple[int, int, int, bytes]]) -> Array:
-        p, lo, more, off, g, h = anchors([x[3] for x in held], length)
-        ids, ths, base = (np.array([x[k] for x in held], t) for k, t in ((0, np.int64), (1, np.uint32), (2, np.int64)))
-        return {"g": g, "h": h >> np.uint64(24), "id": ids[p], "th": ths[p], "lo": base[p] + lo, "more": more.astype(np.uint8), "off": off.astype(np.uint8)}
+def cut_array(a: Array, kind: int, bits: int) -> list[tuple]:
+    """A sorted array by the first bits of the code: shard, kind, n, array."""
+    if not len(a["g"]):
+        return []
+    shard = (a["g"] >> np.uint64(64 - bits)).astype(np.int64)
+    cut = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
+    return [(int(shard[s]), kind, int(e - s), pack_array(take(a, slice(s, e)))) for s, e in zip(cut, [*cut[1:], len(shard)])]
 
-    def batch_of(parts: list[Array]) -> Iterator[pa.RecordBatch]:
-        if not parts:
-            return
+
+def settle_and_cut(parts: list[Array], bits: int) -> Iterator[pa.RecordBatch]:
+    """Kind 0 are the runs that go on, kind 1 those that are later than another one here."""
+    if parts:
         a = sort_array(join_up(parts))
         first, later = first_of_equal(a)
-        rows = []
-        for kind, part in ((0, take(a, first)), (1, take(a, later))):
-            shard = (part["g"] >> np.uint64(64 - bits)).astype(np.int64)
-            cut = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(shard) else []
-            for s, e in zip(cut, [*cut[1:], len(shard)]):
-                rows.append((int(shard[s]), kind, int(e - s), pack_array(take(part, slice(s, e)))))
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.binary()))], names=["shard", "kind", "n", "array"])
+        yield _rows(cut_array(take(a, first), 0, bits) + cut_array(take(a, later), 1, bits))
+
+
+def index_batches(docs: DataFrame, length: int, bits: int, checked: bool) -> DataFrame:
+    """shard, n, array and matches of every batch of docs(id, known, text): its suffix array by
+    shards, and the runs that another document of the batch has earlier, which need no shard."""
+    chunk, batch_bytes = CHUNK, BATCH
+
+    def coded(held: list[tuple]) -> Array:
+        p, lo, more, off, g, h = anchors([x[4] for x in held], length)
+        ids, ths, tls, base = (np.array([x[k] for x in held], np.int64) for k in range(4))
+        return {"g": g, "h": h >> np.uint64(24), "id": ids[p], "th": ths[p], "tl": tls[p], "lo": base[p] + lo, "more": more.astype(np.uint8), "off": off.astype(np.uint8)}
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, parts, size, all_size = [], [], 0, 0
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for key, known, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 raw = (text.as_py() or "").encode()
-                th = zlib.crc32(raw) if checked else 0
+                th, tl = digest(raw, known) if checked else (0, 0)
                 # A long text goes in pieces that share length - 1 bytes: no string is lost or told twice.
-                for at in range(0, max(0, len(raw) - length + 1), CHUNK):
-                    piece = raw[at : at + CHUNK + length - 1]
-                    held.append((key, th, at, piece))
+                for at in range(0, max(0, len(raw) - length + 1), chunk):
+                    piece = raw[at : at + chunk + length - 1]
+                    held.append((key, th, tl, at, piece))
                     size += len(piece)
-                    if size >= CHUNK:
+                    if size >= chunk:
                         parts.append(coded(held))
                         all_size += size
                         held, size = [], 0
-                    if all_size >= BATCH:
-                        yield from batch_of(parts)
+                    if all_size >= batch_bytes:
+                        yield from settle_and_cut(parts, bits)
                         parts, all_size = [], 0
                         give_back()
-        yield from batch_of(parts + ([coded(held)] if held else []))
+        yield from settle_and_cut(parts + ([coded(held)] if held else []), bits)
+        give_back()
+
+    return docs.select("id", "known", "text").mapInArrow(scan, ARRAYS)
+
+
+def cut_further(arrays: DataFrame, bits: int) -> DataFrame:
+    """The arrays (kind 0) of fewer, larger shards by more bits. Arrays of one shard are put
+    together first, as many as a pass holds, so pieces do not get smaller from pass to pass."""
+    most = STEP_ROWS
+
+    def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size, last = [], 0, None
+        for batch in batches:
+            for shard, n, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if shard != last or size >= most:
+                    yield from settle_and_cut(parts, bits)
+                    parts, size, last = [], 0, shard
+                parts.append(unpack_array(blob.as_py(), n))
+                size += n
+        yield from settle_and_cut(parts, bits)
         give_back()
 
-    return docs.select("id", "text").mapInArrow(scan, "shard bigint, kind int, n bigint, array binary")
+    rows = arrays.where("kind = 0").select("shard", "n", "array")
+    return rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(refine, ARRAYS)
+
+
+def split_shards(arrays: DataFrame) -> DataFrame:
+    """Adds part (null, or which of a large shard's parts an array belongs to)."""
+    most = SHARD_ROWS
+    sizes = arrays.where("kind = 0").groupBy("shard").agg(F.sum("n").alias("rows")).where(F.col("rows") > most)
+    large = sizes.select("shard", F.ceil(F.col("rows") / most).cast("bigint").alias("parts"))
+    n = large.count()
+    schema = "shard bigint, part bigint, kind int, n bigint, array binary"
+    if not n:
+        return arrays.select("shard", F.lit(None).cast("bigint").alias("part"), "kind", "n", "array")
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for shard, kind, size, blob, parts in zip(*(batch.column(k).to_pylist() for k in ("shard", "kind", "n", "array", "parts"))):
+                if parts is None or kind:
+                    rows.append((shard, None, kind, size, blob))
+                    continue
+                a = unpack_array(blob, size)
+                part = (mix(a["h"]) % np.uint64(parts)).astype(np.int64)
+                for p in np.unique(part).tolist():
+                    some = take(a, part == p)
+                    rows.append((shard, p, kind, len(some["g"]), pack_array(some)))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["shard", "part", "kind", "n", "array"])
 
+    return join_small(arrays, large, ["shard"], "left", n).mapInArrow(split, schema)
 
-MARKS = "id bigint, th bigint, g bigint, lo bigint, more int, off int"
 
+#: g is null for a run that goes as a whole; hot: its strings are compared by their codes.
+MARKS = "id bigint, th bigint, tl bigint, g bigint, lo bigint, more int, off int, hot boolean"
 
-def _marks(a: Array, closed: bool) -> pd.DataFrame:
-    """Rows of MARKS: g is null for a run that goes as a whole."""
+
+def _marks(a: Array, closed: bool, hot: np.ndarray | bool = False) -> pd.DataFrame:
+    """Rows of MARKS."""
     g = pd.array(a["g"].view(np.int64), dtype="Int64")
     if closed:
         g[:] = pd.NA
-    return pd.DataFrame({"id": a["id"], "th": a["th"].astype(np.int64), "g": g, "lo": a["lo"], "more": a["more"].astype(np.int32), "off": a["off"].astype(np.int32)})
+    return pd.DataFrame({**{k: a[k] for k in DOC}, "g": g, "lo": a["lo"], "more": a["more"].astype(np.int32), "off": a["off"].astype(np.int32), "hot": np.broadcast_to(hot, len(a["g"]))})
 
 
 def give_back() -> None:
@@ -265,18 +355,28 @@ def give_back() -> None:
         trim(0)
 
 
-def merge_shard(rows: pd.DataFrame) -> pd.DataFrame:
-    """One shard's family over its batches."""
-    family, known = IndexFamily(), []
-    for kind, n, blob in zip(rows["kind"], rows["n"], rows["array"]):
-        a = unpack_array(blob, n)
-        known.append(a) if kind else family.add(a)
-    del rows
-    matches, open_ends = family.finish() if family.levels else (join_up(known), join_up([take(known[0], slice(0))]))
-    out = pd.concat([_marks(join_up([matches, *known]), True), _marks(open_ends, False)], ignore_index=True)
-    del family, known, matches, open_ends
-    give_back()
-    return out
+def _merge(hot_runs: int):
+    def merge_shard(rows: pd.DataFrame) -> pd.DataFrame:
+        """One shard's family over its batches, or that of a part of a large shard: there the
+        other runs of a code are elsewhere, so every run may be the end of a match."""
+        family, known = IndexFamily(), []
+        for kind, n, blob in zip(rows["kind"], rows["n"], rows["array"]):
+            a = unpack_array(blob, n)
+            known.append(a) if kind else family.add(a)
+        whole = rows["part"].isna().all()
+        del rows
+        matches, open_ends = family.finish(every=not whole) if family.levels else (join_up(known), join_up([take(known[0], slice(0))]))
+        hot = True
+        if whole:
+            first = np.flatnonzero(np.append(True, open_ends["g"][1:] != open_ends["g"][:-1])) if len(open_ends["g"]) else np.zeros(0, np.int64)
+            runs = np.diff(np.append(first, len(open_ends["g"])))
+            hot = np.repeat(runs > hot_runs, runs)
+        out = pd.concat([_marks(join_up([matches, *known]), True), _marks(open_ends, False, hot)], ignore_index=True)
+        del family, known, matches, open_ends
+        give_back()
+        return out
+
+    return merge_shard
 
 
 def _compare(length: int):
@@ -313,25 +413,31 @@ def _compare(length: int):
                 r = row[gone[cut]]
                 lo = batch.column("lo").to_numpy()[r] + shift[gone[cut]]
                 more = shift[gone[stop]] - shift[gone[cut]]
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(r)), batch.column("th").take(pa.array(r)), pa.array(lo), pa.array(more.astype(np.int32))], names=["id", "th", "lo", "more"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(r)) for k in DOC), pa.array(lo), pa.array(more.astype(np.int32))], names=[*DOC, "lo", "more"])
 
     return compare
 
 
-def _fetch(length: int):
+def _fetch(length: int, hot: bool):
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The bytes of the open runs of each text."""
+        """The bytes of the open runs of each text; of hot ones each string's code instead."""
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for key, th, text, marks in zip(*(batch.column(c) for c in ("id", "th", "text", "marks"))):
-                todo = [m for m in marks.as_py() or () if m["g"] is not None]
+            out: list[list] = [[], [], [], [], [], []]
+            for key, th, tl, text, marks in zip(*(batch.column(c) for c in (*DOC, "text", "marks"))):
+                todo = [m for m in marks.as_py() or () if m["g"] is not None and m["hot"] == hot]
                 if not todo:
                     continue
-                raw = (text.as_py() or "").encode()
+                raw, doc = (text.as_py() or "").encode(), (key.as_py(), th.as_py(), tl.as_py())
                 for m in todo:
-                    for col, x in zip(out, (m["g"], key.as_py(), th.as_py(), m["lo"], raw[m["lo"] : m["lo"] + m["more"] + length])):
-                        col.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == 4 else pa.int64()) for k, c in enumerate(out)], names=["g", "id", "th", "lo", "run"])
+                    at, end = m["lo"], m["lo"] + m["more"] + length
+                    if hot:
+                        strings = [(k, hashlib.blake2b(raw[k : k + length], digest_size=16).digest()) for k in range(at, end - length + 1)]
+                    else:
+                        strings = [(at, raw[at:end])]
+                    for k, x in strings:
+                        for col, y in zip(out, (m["g"], *doc, k, x)):
+                            col.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == 5 else pa.int64()) for k, c in enumerate(out)], names=["g", *DOC, "lo", "run"])
 
     return fetch
 
@@ -367,31 +473,50 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Each byte goes that lies in a string of length bytes which also starts earlier: in a
     document with a smaller id, or before in the same one. Strings never cross documents and
     are judged on the input. Rows with equal ids and different texts are different documents,
-    ordered by their checksum; identical rows are one document and get equal answers; rows
-    with null ids come first. Null and empty texts have no bytes. Ids must be integers. Other
-    columns are ignored; an empty table gives no rows.
+    ordered by their SHA-256; identical rows are one document and get equal answers; rows
+    with null ids come first, ordered by their SHA-256 too. Null and empty texts have no bytes.
+    Ids must be integers. Other columns are ignored; an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType
     lowest = F.lit(-(1 << 63)).cast("bigint")
-    source = docs.select(F.col(id_col).alias("given"), F.coalesce(F.col(id_col).cast("bigint"), lowest).alias("id"), F.col(text_col).alias("text"))
-    # Checksums take room in the index, so they are left out where ids tell documents apart.
+    given = F.col(id_col)
+    source = docs.select(given.alias("given"), F.coalesce(given.cast("bigint"), lowest).alias("id"), given.isNotNull().alias("known"), F.col(text_col).alias("text"))
+    # Digests take room in the index, so they are left out where ids alone tell documents apart.
     checked = bool(source.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count())
-    raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # Shards of some 8 MB of text, 200,000 suffixes: neither one nor its family outgrows a task.
-    bits = min(30, max(4, int(total >> 23).bit_length()))
-    arrays = index_batches(source, length, bits, checked)
-    marks = materialise(arrays.groupBy("shard").applyInPandas(merge_shard, MARKS), "marks")
-    per_doc = marks.groupBy("id", "th").agg(F.collect_list(F.struct("g", "lo", "more", "off")).alias("marks"))
-    # One shuffle of the texts serves both passes over them.
-    texts = source.select("given", "id", (F.crc32(raw) if checked else F.lit(0)).cast("bigint").alias("th"), "text")
-    marked = texts.join(per_doc, ["id", "th"], "left").select("given", "id", "th", "text", "marks")
-    runs = marked.mapInArrow(_fetch(length), "g bigint, id bigint, th bigint, lo bigint, run binary")
-    if checked:  # a repeated row is no earlier document
-        runs = runs.dropDuplicates(["g", "id", "th", "lo"])
-    ends = runs.repartition("g").sortWithinPartitions("g", "id", "th", "lo").mapInArrow(_compare(length), "id bigint, th bigint, lo bigint, more int")
-    ends = ends.groupBy("id", "th").agg(F.collect_list(F.struct("lo", "more")).alias("ends"))
-    both = marked.join(ends, ["id", "th"], "left").select("given", "text", "marks", "ends")
+    bits = min(40, max(4, int(total >> 23).bit_length()))
+    steps = -(-bits // STEP_BITS)
+    arrays = materialise(index_batches(source, length, -(-bits // steps), checked), "arrays")
+    known = []
+    for step in range(2, steps + 1):
+        # What is known to be later needs no shard and goes on as it is.
+        known.append(arrays.where("kind = 1"))
+        arrays = materialise(cut_further(arrays, -(-bits * step // steps)), "arrays")
+    for k in known:
+        arrays = arrays.unionByName(k)
+    marks = materialise(split_shards(arrays).groupBy("shard", "part").applyInPandas(_merge(HOT_RUNS), MARKS), "marks")
+    release(arrays)
+    per_doc = marks.groupBy(*DOC).agg(F.collect_list(F.struct("g", "lo", "more", "off", "hot")).alias("marks"))
+    # One shuffle of the texts serves all passes over them.
+    raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    told = digest_columns(raw, F.col("known")) if checked else [F.lit(0).cast("bigint").alias(k) for k in DOC[1:]]
+    texts = source.select("given", "id", *told, "text")
+    marked = texts.join(per_doc, DOC, "left").select("given", *DOC, "text", "marks")
+
+    def fetched(hot: bool) -> DataFrame:
+        runs = marked.mapInArrow(_fetch(length, hot), "g bigint, id bigint, th bigint, tl bigint, lo bigint, run binary")
+        # A repeated row is no earlier document.
+        return runs.dropDuplicates(["g", *DOC, "lo"]) if checked else runs
+
+    ends = fetched(False).repartition("g").sortWithinPartitions("g", *DOC, "lo").mapInArrow(_compare(length), "id bigint, th bigint, tl bigint, lo bigint, more int")
+    if marks.where("hot").limit(1).count():
+        strings = fetched(True)
+        first = strings.groupBy("g", "run").agg(F.min(F.struct(*DOC, "lo")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+        again = strings.join(first, ["g", "run"]).where(F.struct(*DOC, "lo") != F.col("first"))
+        ends = ends.unionByName(again.select(*DOC, "lo", F.lit(0).alias("more")))
+    ends = ends.groupBy(*DOC).agg(F.collect_list(F.struct("lo", "more")).alias("ends"))
+    both = marked.join(ends, DOC, "left").select("given", "text", "marks", "ends")
     out = both.mapInArrow(_cut(length, 0), f"given {kind.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, spans array<struct<start:bigint,stop:bigint>>, kept binary")
     return out.withColumnRenamed("given", id_col)
