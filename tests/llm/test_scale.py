@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quirework.llm import suffixes
+from quirework.llm import suffixes, vectors
 
 
 def brute_suffixes(rows, length=100):
@@ -82,3 +82,50 @@ def test_texts_longer_than_a_chunk(spark):
     at = suffixes.CHUNK - 300
     rows = [(1, text), (2, "start " + text[at : at + 900]), (3, text[-500:] + "end")]
     assert got_suffixes(spark, rows) == brute_suffixes(rows)
+
+
+def planted_vectors(rng, dim, n):
+    """Vectors without a pattern, partners of some at cosines about 0.9, and two dense groups."""
+    x = rng.normal(size=(n, dim))
+    y = x[: n // 3] / np.linalg.norm(x[: n // 3], axis=1)[:, None]
+    z = rng.normal(size=y.shape)
+    z -= (z * y).sum(1)[:, None] * y
+    z /= np.linalg.norm(z, axis=1)[:, None]
+    c = rng.uniform(0.895, 0.91, len(y))[:, None]
+    near = (c * y + np.sqrt(1 - c**2) * z) * rng.uniform(0.1, 9, len(y))[:, None]
+    dense = np.concatenate([rng.normal(size=dim) * 3 + rng.normal(size=(n // 4, dim)) * s for s in (0.05, 1.2)])
+    return np.concatenate((x, near, dense, dense[:40], 2 * dense[:40]))
+
+
+@pytest.mark.parametrize(("dim", "kind"), [(8, "double"), (16, "float"), (64, "float")])
+@pytest.mark.parametrize("many", [False, True])
+def test_vectors_lose_no_link(spark, monkeypatch, dim, kind, many):
+    if many:  # several hundred cells, blocks of 256, several parts of guests
+        for name, value in (("CELL", 4), ("COPIES", 1e9), ("BLOCK_BYTES", 1)):
+            monkeypatch.setattr(vectors, name, value)
+    rng = np.random.default_rng(dim)
+    x = planted_vectors(rng, dim, 1200)
+    if kind == "float":
+        x = x.astype(np.float32)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    hit = unit @ unit.T >= 0.9
+    np.fill_diagonal(hit, False)
+    lead = np.arange(len(x))
+    while (lead != (low := np.minimum(lead, np.where(hit, lead[None, :], len(x)).min(1)))).any():
+        lead = low
+    got = vectors.dedup_vectors(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], f"vec_id long, embedding array<{kind}>")).toPandas().sort_values("vec_id")
+    assert got["n_links"].tolist() == hit.sum(1).tolist()
+    assert got["component_id"].tolist() == lead.tolist()
+    assert (got["kept"] == (got["vec_id"] == got["component_id"])).all()
+
+
+def test_vectors_over_odd_tables(spark):
+    schema = "embedding array<double>, vec_id long, n long, code long, home string, v array<double>, mult int"
+    big, rest = 1.7976931348623157e308, (None,) * 5
+    rows = [([1.0, 2.0, 3.0], 1), ([1.0, 2.0, 3.0], 2), ([2.0, 4.0, 6.0], 3), ([1.0, 2.0], 4), ([1.0, 2.0], 5), ([1.0, 2.1], 6), ([0.0, -0.0], 7), ([float("inf"), 1.0], 8), ([big, 0.0], 9), ([1.0, 0.0], 10), ([], 11), (None, 12), ([1.0, None], 13), ([1.0, 2.0, 3.0], None), (None, None), ([-1.0, 5.0], 14), ([-1.0, 5.1], 14), ([float("nan"), 1.0], 15), ([7.0], 16), ([7.5], 17), ([-7.5], 18)]
+    df = spark.createDataFrame([(*r, *rest) for r in rows], schema)
+    got = sorted(map(tuple, vectors.dedup_vectors(df).collect()), key=repr)
+    want = [(1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 2, 4, True), (5, 2, 4, False), (6, 2, 4, False), (7, 0, 7, True), (8, 0, 8, True), (9, 1, 9, True), (10, 1, 9, False), (11, 0, 11, True), (12, 0, 12, True), (13, 0, 13, True), (None, 0, None, True), (None, 0, None, True), (14, 1, 14, True), (14, 1, 14, True), (15, 0, 15, True), (16, 1, 16, True), (17, 1, 16, False), (18, 0, 18, True)]
+    assert got == sorted(want, key=repr)
+    assert vectors.dedup_vectors(df.where("false")).count() == 0
+    assert vectors.dedup_vectors(df.where("embedding is null")).count() == 2
