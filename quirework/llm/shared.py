@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a dimension that may be broadcast: 200,000 narrow rows stay below some 20 MB.
 BROADCAST_ROWS = 200_000
+#: Pairs of a node beyond which it is a hub.
+HUB = 256
 #: Folders that materialise wrote and that are still there, by name.
 _written: dict[str, str] = {}
 
@@ -75,13 +77,31 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def _with_least(pairs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """pairs(u, v), n of them, with m, the smallest of each u and its partners; and the written
+    table behind it.
+
+    Nodes of more than HUB pairs are joined by broadcast, the rest by node, so no task gets a
+    hub's pairs. HUB grows with n: less than BROADCAST_ROWS nodes can have more.
+    """
+    low = materialise(pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("pairs")), "least")
+    most = max(HUB, -(-n // BROADCAST_ROWS))
+    hubs = low.where(F.col("pairs") > most)
+    if not hubs.limit(1).count():
+        return pairs.join(low.select("u", "m"), "u"), low
+    marked = pairs.join(F.broadcast(hubs.select("u", F.col("m").alias("hub"))), "u", "left")
+    rest = marked.where("hub is null").select("u", "v").join(low.where(F.col("pairs") <= most).select("u", "m"), "u")
+    return marked.where("hub is not null").select("u", "v", F.col("hub").alias("m")).unionByName(rest), low
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of edges(u long, v long): node, component (its smallest node).
 
-    Alternating large-star and small-star rounds: each is one aggregation and one
-    join on the node, so a hub's edges are combined before the shuffle and its
-    joined rows can be split; a written table closes each round. Self-loops and
-    repeated edges do no harm; no edges give no rows.
+    Alternating large-star and small-star rounds, each a join with the smallest partner; hubs
+    are joined apart. A written table closes each round, and those it no longer needs go.
+    Rounds grow with the square of the logarithm of the longest path at most, so 60 are out
+    of reach; more would raise an error, not stop early. Self-loops and repeated edges do no
+    harm; no edges give no rows.
     """
     flat = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     flat = materialise(flat, "edges")
@@ -90,11 +110,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if not state[0]:
             break
         both = flat.unionByName(flat.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        flat = materialise(small.select("e.*").where("u <> v").distinct(), "edges")
+        large, low = _with_least(both, 2 * state[0])
+        large = large.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = materialise(large.distinct(), "large")
+        small, lower = _with_least(large, 2 * state[0])
+        small = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        before, flat = flat, materialise(small.select("e.*").where("u <> v").distinct(), "edges")
+        release(before, large, low, lower)
         now = _fingerprint(flat)
         if now == state:
             break
