@@ -5,26 +5,35 @@ takes for listed but which are not; level 3 the listed keys that level 2 takes f
 those, and so on until a level takes nothing wrongly. Over that key universe the
 cascade answers membership exactly, with no join against the corpus: each key asks
 the levels in turn, and the first level that denies it settles the answer.
+
+A level is one literal of bounded size, held once by a task. A longer list is split into
+shards by the keys' hash, each with a cascade of its own; where the shards do not fit into
+one pass over the corpus, passes follow each other.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower, materialise
+from .shared import ascii_lower, materialise, release
 
 #: (rule, action) of the production query: host, then the path's first characters.
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
-#: Words of 64 bits in one level at most (4 MB, some 2 million listed keys); a longer list is refused with its size.
-MAX_WORDS = 1 << 19
+#: Bytes of a shard's first level, some 7 million keys; shards that one pass over the corpus asks.
+LEVEL_BYTES, SHARDS_A_PASS = 1 << 24, 4
+#: Bits in a byte of a level: bytes below 128 are characters, which Spark reads at any place.
+BYTE = 7
+#: Bytes of a level that the driver gets as one row.
+CHUNK = 1 << 16
+FIRST_BITS, BITS = 16.0, 3.0
 
 
 @dataclass
 class Cascade:
-    """levels: an array of 64-bit words each, with its number of bits and hashes."""
+    """levels: the bytes of each, with its number of bits and hashes."""
 
     levels: list[tuple[Column, int, int]] = field(default_factory=list)
 
@@ -32,8 +41,8 @@ class Cascade:
         """Exact for listed keys and for every key of the universe the cascade was built over."""
         out = F.lit(len(self.levels) % 2 == 1)
         for depth in reversed(range(len(self.levels))):
-            words, bits, hashes = self.levels[depth]
-            hit = _might_contain(key, words, bits, hashes, depth)
+            level, bits, hashes = self.levels[depth]
+            hit = _might_contain(key, level, bits, hashes, depth)
             out = F.when(hit, out).otherwise(F.lit(depth % 2 == 1))
         return F.coalesce(out, F.lit(False))
 
@@ -44,57 +53,86 @@ def _slots(key: Column, bits: int, hashes: int, depth: int) -> list[Column]:
     return [F.pmod(one + F.lit(i) * two, F.lit(bits)) for i in range(hashes)]
 
 
-def _might_contain(key: Column, words: Column, bits: int, hashes: int, depth: int) -> Column:
+def _might_contain(key: Column, level: Column, bits: int, hashes: int, depth: int) -> Column:
     out = F.lit(True)
     for slot in reversed(_slots(key, bits, hashes, depth)):
-        word = F.get(words, F.shiftright(slot, 6).cast("int"))
-        out = F.when(F.getbit(word, (slot % 64).cast("int")) == 1, out).otherwise(F.lit(False))
+        byte = F.ascii(F.substring(level, F.floor(slot / BYTE).cast("int") + 1, F.lit(1)).cast("string"))
+        out = F.when(F.getbit(byte, (slot % BYTE).cast("int")) == 1, out).otherwise(F.lit(False))
     return out
 
 
 def _level(keys: DataFrame, n: int, bits_per_key: float, hashes: int, depth: int) -> tuple[Column, int, int]:
-    n_words = max(1, -(-int(max(1, n) * bits_per_key) // 64))
-    if n_words > MAX_WORDS:
-        raise ValueError(f"a level over {n} keys takes {n_words} words; the bound is {MAX_WORDS}")
-    bits = 64 * n_words
-    # The words are summed up by key first: what the driver gets is a level, at most MAX_WORDS, whatever the corpus.
-    set_bits = keys.select(F.explode(F.array(*_slots(F.col("key"), bits, hashes, depth))).alias("slot"))
-    words = set_bits.groupBy(F.shiftright("slot", 6).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("word"))
-    row = [0] * n_words
-    for at, word in words.collect():
-        row[at] = word
-    # Folded into one array literal when the plan is optimised.
-    return F.from_json(F.lit(str(row)), "array<bigint>"), bits, hashes
-
-
-def build_cascade(listed: DataFrame, universe: DataFrame, first_bits: float = 16, bits: float = 3, max_depth: int = 40) -> Cascade:
+    size = max(1, -(-int(max(1, n) * bits_per_key) // BYTE))
+    bits = BYTE * size
+    slots = keys.select(F.explode(F.array(*_slots(F.col("key"), bits, hashes, depth))).alias("slot"))
+    slots = slots.select(F.floor(F.col("slot") / BYTE).alias("at"), F.call_function("shiftleft", F.lit(1), (F.col("slot") % BYTE).cast("int")).alias("bit"))
+    found = slots.groupBy("at").agg(F.bit_or("bit").alias("byte")).select(F.floor(F.col("at") / CHUNK).alias("chunk"), (F.col("at") % CHUNK).cast("int").alias("at"), "byte")
+    # The driver gets a level, bounded whatever the corpus, as hexadecimal digits of CHUNK bytes a row.
+    before = F.lag("at", 1, -1).over(Window.partitionBy("chunk").orderBy("at"))
+    digits = F.concat(F.repeat(F.lit("00"), F.col("at") - before - 1), F.lpad(F.hex("byte"), 2, "0"))
+    rows = found.withColumn("digits", digits).groupBy("chunk").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "digits"))), lambda x: x["digits"]), "").alias("digits"))
+    level = bytearray(size)
+    for chunk, text in rows.collect():
+        part = bytes.fromhex(text)
+        level[chunk * CHUNK : chunk * CHUNK + len(part)] = part
+    return F.lit(bytes(level)), bits, hashes
+
+
+def build_cascade(listed: DataFrame, universe: DataFrame, first_bits: float = FIRST_BITS, bits: float = BITS, max_depth: int = 40) -> Cascade:
     """A cascade over listed(key) that is exact for every key of universe(key).
 
     universe is read once, in full, and may repeat keys; null keys are ignored. What
     passes level 1 wrongly is set apart by grouping it with the listed keys, and only
-    that small table is looked at for the deeper levels.
+    that small table is looked at for the deeper levels. Each level leaves less than half
+    of the keys open, so max_depth is out of reach.
     """
     listed = materialise(listed.where("key is not null").select("key").distinct(), "listed")
-    n, cascade = listed.count(), Cascade()
+    n, cascade, done = listed.count(), Cascade(), [listed]
     if not n:
         return cascade
     cascade.levels.append(_level(listed, n, first_bits, max(1, round(first_bits * 0.69)), 0))
-    words, size, hashes = cascade.levels[0]
-    passed = universe.where("key is not null").select("key").where(_might_contain(F.col("key"), words, size, hashes, 0))
+    level, size, hashes = cascade.levels[0]
+    passed = universe.where("key is not null").select("key").where(_might_contain(F.col("key"), level, size, hashes, 0))
     marked = listed.withColumn("own", F.lit(1)).unionByName(passed.withColumn("own", F.lit(0)))
-    # in: the keys the newest level encodes; out: those it must not take for its own.
+    # within: the keys the newest level encodes; without: those it must not take for its own.
     within, without = listed, materialise(marked.groupBy("key").agg(F.max("own").alias("own")).where("own = 0").select("key"), "passed")
+    done.append(without)
     while (m := without.count()) and len(cascade.levels) < max_depth:
         depth = len(cascade.levels)
         cascade.levels.append(_level(without, m, bits, max(1, round(bits * 0.69)), depth))
-        words, size, hashes = cascade.levels[-1]
-        wrong = within.where(_might_contain(F.col("key"), words, size, hashes, depth))
+        level, size, hashes = cascade.levels[-1]
+        wrong = within.where(_might_contain(F.col("key"), level, size, hashes, depth))
         within, without = without, materialise(wrong, "passed")
+        done.append(without)
     if m:
         raise RuntimeError(f"{m} keys are still mistaken after {max_depth} levels")
+    release(*done)
     return cascade
 
 
+def build_shards(listed: DataFrame, universe: DataFrame) -> list[tuple[Cascade, int, int]]:
+    """Cascades with their shard and the number of shards: as many as keep each level within
+    LEVEL_BYTES, the second too, which holds what the first mistakes of the universe."""
+    listed = materialise(listed.where("key is not null").select("key").distinct(), "keys")
+    n = listed.count()
+    if not n:
+        return []
+    most = BYTE * LEVEL_BYTES
+    shards = max(1, -(-int(n * FIRST_BITS) // most))
+    others = universe.agg(F.approx_count_distinct("key")).first()[0] or 0
+    shards = max(shards, -(-int(others * 0.6185**FIRST_BITS * BITS) // most))
+    out = []
+    for k in range(shards):
+        mine = [t if shards == 1 else t.where(_shard(F.col("key"), shards) == k) for t in (listed, universe)]
+        out.append((build_cascade(*mine), k, shards))
+    release(listed)
+    return out
+
+
+def _shard(key: Column, shards: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(-1), key), F.lit(shards))
+
+
 def url_parts(url: Column) -> tuple[Column, Column]:
     """host (A-Z lower-cased) and path; both empty for null or no ://."""
     host = ascii_lower(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1))
@@ -102,13 +140,13 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return F.coalesce(host, F.lit("")), F.coalesce(path, F.lit(""))
 
 
-def candidate_keys(host: Column, path: Column, path_lengths: list[int]) -> Column:
-    """Every rule that could fit: each tail of the host at a label, with each length of
-    path that a rule has. As many as the labels times the lengths, whatever the list."""
-    labels = F.split(host, r"\.")
-    tails = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    ends = F.filter(F.array(*[F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in path_lengths]), lambda p: p.isNotNull())
-    return F.when(host == "", F.array().cast("array<string>")).otherwise(F.flatten(F.transform(tails, lambda t: F.transform(ends, lambda p: F.concat(t, p)))))
+def candidate_keys(host: Column, path: Column, shapes: list[tuple[int, int]]) -> Column:
+    """Every rule that could fit: shapes are the numbers of host labels and path characters
+    that rules have, so there are no more keys than shapes, however long the url."""
+    labels = F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+    asked = F.array(*[F.struct(F.lit(h).alias("h"), F.lit(p).alias("p")) for h, p in shapes]) if shapes else F.array().cast("array<struct<h:int,p:int>>")
+    fits = F.filter(asked, lambda s: (host != "") & (s["h"] <= labels) & (s["p"] <= F.length(path)))
+    return F.transform(fits, lambda s: F.concat(F.call_function("substring_index", host, F.lit("."), -s["h"]), F.substring(path, F.lit(1), s["p"])))
 
 
 def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
@@ -117,26 +155,38 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     rules(rule string, action allow or block): a rule is a host and the beginning of a
     path, fits that host and its subdomains, and the longest that fits decides; of one
     rule given both actions, block counts. Where none fits, the keys are not listed and
-    verdict is default. rules may hold as many rows as the cascade's bound allows; each
-    action has its own cascade, built over all candidate keys of pages.
+    verdict is default. rules may hold any number of rows; each action has its own
+    cascades, built over all candidate keys of pages.
 
     Null urls and urls without :// have empty host and path and no rule. Repeated rows
     stay. Columns of pages named host, path, rule or verdict are replaced. An empty rules
     table gives every row the default.
     """
     rules = materialise(rules.where("rule is not null").groupBy("rule").agg(F.max("action").alias("action")), "rules")
-    # The lengths of the rules' paths: as few as the rules' authors use, and checked.
-    lengths = sorted(r[0] for r in rules.select(F.length(F.regexp_extract("rule", r"(?s)^[^/]*(.*)$", 1))).distinct().limit(1001).collect())
-    if len(lengths) > 1000:
-        raise ValueError("the rules' paths have over 1000 different lengths")
+    rule_host = F.regexp_extract("rule", r"(?s)^([^/]*)", 1)
+    shape = [(F.length(rule_host) - F.length(F.replace(rule_host, F.lit("."), F.lit(""))) + 1).alias("h"), (F.length("rule") - F.length(rule_host)).alias("p")]
+    # Distinct lengths, as few as the rules' authors use whatever their number.
+    shapes = sorted(map(tuple, rules.select(*shape).distinct().collect()))
     host, path = url_parts(F.col(url))
     split = pages.withColumns({"host": host, "path": path})
-    keys = candidate_keys(F.col("host"), F.col("path"), lengths)
+    keys = candidate_keys(F.col("host"), F.col("path"), shapes)
     universe = split.select("host", "path").select(F.explode(keys).alias("key"))
-    fits = {}
-    for action in ("block", "allow"):
-        cascade = build_cascade(rules.where(F.col("action") == action).select(F.col("rule").alias("key")), universe)
-        fits[action] = (lambda c: lambda k: c.contains(k))(cascade)
-    hits = F.filter(F.transform(keys, lambda k: F.struct(F.length(k).alias("n"), k.alias("rule"), F.when(fits["block"](k), "block").when(fits["allow"](k), "allow").alias("action"))), lambda x: x["action"].isNotNull())
-    best = F.array_max(hits)
-    return split.withColumn("_best", best).withColumns({"rule": F.col("_best.rule"), "verdict": F.coalesce(F.col("_best.action"), F.lit(default))}).drop("_best")
+    asked = [(action, *shard) for action in ("block", "allow") for shard in build_shards(rules.where(F.col("action") == action).select(F.col("rule").alias("key")), universe)]
+    out = split.withColumn("_best", F.lit(None).cast("struct<n:int,rule:string,action:string>"))
+    for at in range(0, len(asked), SHARDS_A_PASS):
+        some, done = asked[at : at + SHARDS_A_PASS], out
+
+        def action_of(key: Column, some: list = some) -> Column:
+            found = F.lit(None).cast("string")
+            for action, cascade, k, shards in reversed(some):
+                mine = F.lit(True) if shards == 1 else _shard(key, shards) == k
+                found = F.when(mine & cascade.contains(key), action).otherwise(found)
+            return found
+
+        hits = F.filter(F.transform(keys, lambda k: F.struct(F.length(k).alias("n"), k.alias("rule"), action_of(k).alias("action"))), lambda x: x["action"].isNotNull())
+        # Of equal lengths the rules are equal, and each has one action.
+        out = out.withColumn("_best", F.greatest(F.col("_best"), F.array_max(hits)))
+        if at + SHARDS_A_PASS < len(asked):
+            out = materialise(out, "judged")
+            release(done)
+    return out.withColumns({"rule": F.col("_best.rule"), "verdict": F.coalesce(F.col("_best.action"), F.lit(default))}).drop("_best")

@@ -1,13 +1,14 @@
 """What only shows with repeated ids, hot keys, several passes or long lists, against brute force."""
 
 import hashlib
+import re
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quirework.llm import suffixes, vectors
+from quirework.llm import shared, suffixes, urlfilter, vectors
 
 
 def brute_suffixes(rows, length=100):
@@ -129,3 +130,51 @@ def test_vectors_over_odd_tables(spark):
     assert got == sorted(want, key=repr)
     assert vectors.dedup_vectors(df.where("false")).count() == 0
     assert vectors.dedup_vectors(df.where("embedding is null")).count() == 2
+
+
+@pytest.mark.parametrize("hub", [256, 3])
+def test_components_with_hubs(spark, monkeypatch, hub):
+    monkeypatch.setattr(shared, "HUB", hub)
+    rng = np.random.default_rng(14)
+    edges = [(5000, i) for i in range(600)] + [(700, i) for i in range(701, 1300)] + [(599, 700)] + [(i, i + 1) for i in range(2000, 2060)] + [tuple(map(int, e)) for e in rng.integers(3000, 3400, (250, 2))]
+    lead = {}
+
+    def root(k):
+        while lead.setdefault(k, k) != k:
+            k = lead[k]
+        return k
+
+    for u, v in edges:
+        a, b = root(u), root(v)
+        lead[max(a, b)] = min(a, b)
+    got = dict(map(tuple, shared.components(spark.createDataFrame(edges, "u long, v long")).collect()))
+    assert got == {k: root(k) for k in lead if any(k in e and e[0] != e[1] for e in edges)}
+    assert shared.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def plain_rule(url, rules):
+    if url is None or "://" not in url:
+        return "", "", None, "allow"
+    rest = url.split("://", 1)[1]
+    host = re.sub("[A-Z]", lambda m: m[0].lower(), re.match(r"(?s)[^/?#]*", rest)[0])
+    path = re.match(r"(?s)[^?#]*", rest[len(host) :])[0]
+    fits = [r for r in rules if (h := r.split("/")[0]) is not None and host and (host == h or host.endswith("." + h)) and path.startswith(r[len(h) :])]
+    best = max(fits, key=len, default=None)
+    return host, path, best, rules.get(best, "allow")
+
+
+@pytest.mark.parametrize(("level_bytes", "a_pass"), [(1 << 24, 4), (300, 2)])
+def test_urls_against_long_lists(spark, monkeypatch, level_bytes, a_pass):
+    monkeypatch.setattr(urlfilter, "LEVEL_BYTES", level_bytes)
+    monkeypatch.setattr(urlfilter, "SHARDS_A_PASS", a_pass)
+    rng = np.random.default_rng(15)
+    tld, word = ["com", "net", "co.uk"], lambda: "".join(rng.choice(list("abc"), 3))
+    rules = {}
+    for _ in range(1200):
+        rules[".".join([word() for _ in range(rng.integers(0, 3))] + [tld[rng.integers(3)]]) + "/" + word()[: rng.integers(0, 4)]] = ["allow", "block"][rng.integers(2)]
+    urls = [f"{['http', 'x'][rng.integers(2)]}://" + ".".join([word() for _ in range(rng.integers(0, 4))] + [tld[rng.integers(3)]]) + "/" + word() + ["", "?q=a/b", "#f", "/x"][rng.integers(4)] for _ in range(800)]
+    urls += [None, "", "no scheme", "http://", "http:///com/", "HTTP://Www.A.COM/abc", "http://com", "http://" + "a." * 20_000 + "com/abc", "http://a.com/" + "é" * 5000, "ftp://x.com./", "a://b.net://c.com/"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r for r in urlfilter.filter_urls(df, spark.createDataFrame(list(rules.items()), "rule string, action string")).collect()}
+    for i, u in enumerate(urls):
+        assert (got[i].host, got[i].path, got[i].rule, got[i].verdict) == plain_rule(u, rules), u
