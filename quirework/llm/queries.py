@@ -47,6 +47,15 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
+def host_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line dedup of op6 over web pages: the site is the url's host."""
+    from .linededup import dedup_lines, visible_lines
+    from .urlfilter import url_parts
+
+    pages = table(spark, sf_dir, "pages").select("page_id", url_parts(F.col("url"))[0].alias("host"), visible_lines(F.col("html")).alias("text"))
+    return dedup_lines(pages, "host")
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import held_out, score_quality, train
 
@@ -74,7 +83,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_url_filter, op3_source_mix, op4_license_scan, op5_simhash_dedup, op6_line_dedup, op7_quality_classifier, op8_packing, op9_quality_rules, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_url_filter, op3_source_mix, op4_license_scan, op5_simhash_dedup, op6_line_dedup, op7_quality_classifier, op8_packing, op9_quality_rules, op10_suffix_dedup, host_line_dedup)}
 
 SQL = {
     "op2_url_filter": """
@@ -104,5 +113,25 @@ select d.doc_id, d.source, case when d.text is null then null else coalesce(k.te
        case when d.text is null then 0 else len(string_split(d.text, chr(10))) end as n_lines,
        case when d.text is null then 0 else len(string_split(d.text, chr(10))) - coalesce(k.n, 0) end as n_dropped
 from documents d left join kept k using (doc_id)
+""",
+    "host_line_dedup": r"""
+with docs as (
+  select page_id,
+         case when url is null or position('://' in url) = 0 then '' else translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') end as host,
+         trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', '', 'g'), '(?s)<[^>]*>', chr(10), 'g'), '\n[ \n\t\r]*', chr(10), 'g'), ' ') as text
+  from pages),
+lines as (
+  select page_id, host, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as k from docs),
+seen as (select host, trim(line, ' ') as bare, count(distinct page_id) as n from lines where trim(line, ' ') <> '' group by 1, 2),
+sizes as (select host, count(*) as pages from docs group by 1),
+drops as (select s.host, s.bare from seen s join sizes p using (host) where s.n >= 3 and s.n > 0.1::double * p.pages),
+kept as (
+  select l.page_id, string_agg(l.line, chr(10) order by l.k) as text, count(*) as n
+  from lines l left join drops d on l.host = d.host and trim(l.line, ' ') = d.bare
+  where d.bare is null group by 1)
+select d.page_id, d.host, case when d.text is null then null else coalesce(k.text, '') end as text,
+       case when d.text is null then 0 else len(string_split(d.text, chr(10))) end as n_lines,
+       case when d.text is null then 0 else len(string_split(d.text, chr(10))) - coalesce(k.n, 0) end as n_dropped
+from docs d left join kept k using (page_id)
 """,
 }

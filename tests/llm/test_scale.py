@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quirework.llm import shared, suffixes, urlfilter, vectors
+from quirework.llm import linededup, shared, suffixes, urlfilter, vectors
 
 
 def brute_suffixes(rows, length=100):
@@ -178,3 +178,21 @@ def test_urls_against_long_lists(spark, monkeypatch, level_bytes, a_pass):
     got = {r.page_id: r for r in urlfilter.filter_urls(df, spark.createDataFrame(list(rules.items()), "rule string, action string")).collect()}
     for i, u in enumerate(urls):
         assert (got[i].host, got[i].path, got[i].rule, got[i].verdict) == plain_rule(u, rules), u
+
+
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_lines_with_hot_sites_and_odd_columns(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(linededup, "HOT_PAGES", 4)
+    schema = "a string, text string, k int, salt string, `no` string, _kept string, t string, n_lines int, `x.y` int"
+    rows = [("hot", f" nav\nbody {i % 20}\n\nnav ", i, "s", None, "k", "t", 7, i) for i in range(60)]
+    rows += [(None, "nav\nnav", 100, *(None,) * 6)] * 3 + [("", "nav", 101, *(None,) * 6), ("b", None, 102, *(None,) * 6), ("b", "", 103, *(None,) * 6), ("c", "q\n" * 30_000, 104, *(None,) * 6)]
+    df = spark.createDataFrame(rows, schema)
+    out = linededup.dedup_lines(df, "a")
+    assert out.columns == ["a", "text", "k", "salt", "no", "_kept", "t", "x.y", "n_lines", "n_dropped"]
+    got = sorted((r.k, r.a, r.text, r.t, r.n_lines, r.n_dropped) for r in out.collect())
+    # "nav" stands on all pages of hot, each body on 3 of 60; the null site's lines on all 3.
+    want = [(i, "hot", f"body {i % 20}\n", "t", 4, 2) for i in range(60)] + [(100, None, "", None, 2, 2)] * 3
+    want += [(101, "", "nav", None, 1, 0), (102, "b", None, None, 0, 0), (103, "b", "", None, 1, 0), (104, "c", "q\n" * 30_000, None, 30_001, 0)]
+    assert got == sorted(want, key=lambda r: r[0])
+    assert linededup.dedup_lines(df.where("false"), "a").count() == 0
