@@ -42,7 +42,7 @@ MASK = (1 << 64) - 1
 STEP_BITS, STEP_ROWS = 10, 400_000
 #: Suffixes of a shard beyond which it is split by the runs' codes, and runs beyond which
 #: those of one first code are compared by an aggregation.
-SHARD_ROWS, HOT_RUNS = 1 << 21, 1024
+SHARD_ROWS, HOT_RUNS = 1 << 21, 50_000
 #: The columns of an array: two codes, the document (id and 127 bits of its digest), the
 #: run's first string, how many more it has, and how far from the first the anchor lies.
 FIELDS = {"g": np.uint64, "h": np.uint64, "id": np.int64, "th": np.int64, "tl": np.int64, "lo": np.int64, "more": np.uint8, "off": np.uint8}
@@ -512,7 +512,7 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     ends = fetched(False).repartition("g").sortWithinPartitions("g", *DOC, "lo").mapInArrow(_compare(length), "id bigint, th bigint, tl bigint, lo bigint, more int")
     if marks.where("hot").limit(1).count():
-        strings = fetched(True)
+        strings = materialise(fetched(True), "strings")
         first = strings.groupBy("g", "run").agg(F.min(F.struct(*DOC, "lo")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
         again = strings.join(first, ["g", "run"]).where(F.struct(*DOC, "lo") != F.col("first"))
         ends = ends.unionByName(again.select(*DOC, "lo", F.lit(0).alias("more")))
