@@ -182,3 +182,77 @@ HEADING_RENDERINGS = {
     "conflict of interests": "تضاد منافع",
     "conflicts of interest": "تضاد منافع",
 }
+
+# What ends the search for a term before its English name, what breaks it off,
+# the words that are no part of a term, and the shapes of names in parentheses.
+SENTENCE_END = ".!؟?"
+TERM_BOUNDARY = "،؛:.,;!؟?)"
+TERM_BARRIER = "()[]«»\"'"
+TERM_WORDS, TERM_CHARS = 5, 60
+TERM_STOPWORDS = (
+    "و", "یا", "با", "از", "به", "در", "بر", "که", "تا", "را", "برای",
+    "این", "آن", "هم", "نیز", "اما", "ولی", "روی", "بین", "پس", "مورد",
+    "طور", "صورت", "دلیل", "وسیله", "عنوان", "جهت", "بدون", "داخل",
+    "شد", "شده", "شود", "کرد", "کرده", "کند", "است", "بود", "گردید",
+    "می", "نمی", "دارد", "دارای", "داد", "یافت", "گشت", "انجام",
+)
+NAME_IN_PARENTHESES = r"\(\s*([A-Za-z][A-Za-z0-9\s,;:\-\./\+%'’]*?)\s*\)"
+PLAIN_PARENTHESES = r"(\([A-Za-z0-9\s,;:\-\./\+%]+\))"
+
+# The clinical terms and their renderings.
+CLINICAL_TERMS = {
+    "Complicated Crown-Root Fracture": "شکستگی پیچیده تاج-ریشه",
+    "Crown-Root Fracture": "شکستگی تاج-ریشه",
+    "Crown Fracture": "شکستگی تاج",
+    "Root Fracture": "شکستگی ریشه",
+    "Reattachment Procedure": "روش اتصال مجدد",
+    "Reattachment": "اتصال مجدد",
+    "Fiber Post": "پست فایبر",
+    "Biologic Width": "عرض بیولوژیک",
+    "Biological Width": "عرض بیولوژیک",
+    "Orthodontic Extrusion": "اکستروژن ارتودنتیک",
+    "Isolation": "ایزولاسیون",
+    "Protrusive Eruptive Pattern": "الگوی رویش پروتروزیو",
+    "Dental Trauma": "تروما دندانی",
+    "Traumatic Dental Injuries": "آسیب‌های دندانی تروماتیک",
+    "Intraoral": "داخل‌دهانی",
+    "Radiograph": "رادیوگراف",
+    "Periapical Radiograph": "رادیوگراف پری‌اپیکال",
+    "Pulp": "پالپ",
+    "Pulpotomy": "پالپوتومی",
+    "Pulpectomy": "پالپکتومی",
+    "Root Canal Treatment": "درمان کانال ریشه",
+    "Composite Resin": "رزین کامپوزیت",
+    "Enamel": "مینا",
+    "Dentin": "عاج",
+    "Cementum": "سِمان",
+    "Periodontal Ligament": "لیگامان پریودنتال",
+    "Alveolar Bone": "استخوان آلوئولار",
+    "Gingiva": "لثه",
+    "Vitality Test": "تست وایتالیتی",
+    "Percussion Test": "تست پرکاشن",
+    "Mobility": "موبیلیتی",
+    "Splinting": "اسپلینت‌گذاری",
+    "Follow-Up": "پیگیری",
+    "Prognosis": "پروگنوز",
+    "Anterior Teeth": "دندان‌های قدامی",
+    "Posterior Teeth": "دندان‌های خلفی",
+    "Apexification": "اپکسیفیکاسیون",
+    "MTA": "مینرال تری‌اکساید اگریگیت",
+}
+
+# Formats of notes, warnings and captions, and types that are translated.
+TERM_NOTE = ("", " در فارسی «", "» ترجمه می‌شود.")
+MISSING_NUMBERS, ADDED_NUMBERS, MISSING_UNITS = "اعداد جاافتاده در ترجمه: ", "اعداد اضافه‌شده در ترجمه: ", "واحدهای جاافتاده در ترجمه: "
+LIST_COMMA, TIMES = "، ", "×"
+CAPTION_PARTS = r"^(?:Figure|Fig\.|شکل)\s*(\p{Nd}+)[\.:\s\-]+(.*)"
+FIGURE_WORD = "شکل"
+TRANSLATABLE = ("title", "heading", "paragraph", "figure_caption", "reference")
+LOCAL_HOSTS = ("127.0.0.1", "localhost", "0.0.0.0", "[::1]")
+
+# Classes of a page's elements.
+TERM_OPEN, TERM_MIDDLE, TERM_NAME, TERM_CLOSE = '<span class="glossary-term" data-term="', '" tabindex="0" role="button">', '<span class="term-en" dir="ltr"> (', ")</span></span>"
+NAME_OPEN, NAME_CLOSE = '<span class="en-term" dir="ltr">', "</span>"
+
+# Download limits.
+DOWNLOAD_LIMIT, FIRST_CHUNK, LEAST_FILE = 150 * 1024 * 1024, 1024, 100

@@ -135,3 +135,32 @@ def model_rejected(message: Column, status: Column) -> Column:
 
 def image_type(extension: Column) -> Column:
     return F.concat(F.lit("image/"), F.when(extension.isin(*P.IMAGE_TYPES), extension).otherwise("png"))
+
+
+def download_outcome(status: Column, kind: Column, head: Column, declared: Column, size: Column) -> Column:
+    """What a download comes to: ok, inaccessible, invalid, or failed; head are its first bytes."""
+    start = F.substring(head, 1, P.FIRST_CHUNK)
+    page = F.lower(start).contains("<html") | F.lower(F.coalesce(kind, F.lit(""))).contains("text/html")
+    return (
+        F.when(status.isin(401, 403), "inaccessible")
+        .when(status >= 400, "failed")
+        .when(page, "inaccessible")
+        .when(~start.contains("%PDF-"), "invalid")
+        .when((declared > P.DOWNLOAD_LIMIT) | (size > P.DOWNLOAD_LIMIT), "failed")
+        .when(size < P.LEAST_FILE, "invalid")
+        .otherwise("ok")
+    )
+
+
+def local_endpoint(url: Column) -> Column:
+    return any_contains(F.coalesce(url, F.lit("")), P.LOCAL_HOSTS)
+
+
+def own_asset(name: Column) -> Column:
+    """Whether a file is one of the figures that a run writes, and may go before the next."""
+    return name.rlike("^figure-")
+
+
+def source_path(source: Column) -> Column:
+    """A source as it was meant: without blanks and quotes around it."""
+    return F.regexp_replace(F.regexp_replace(source, r"(?U)^\s+|\s+$", ""), "^[\"']+|[\"']+$", "")

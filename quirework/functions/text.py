@@ -39,11 +39,19 @@ def join_lines(lines: Column) -> Column:
     return F.aggregate(lines, F.lit(""), step)
 
 
-def collapse_repeats(c: Column, rounds: int = 3) -> Column:
-    """Runs of 20 characters and more that stand twice in a row stand once."""
-    for _ in range(rounds):
-        c = F.regexp_replace(c, r"(\b.{20,}?)\s+\1\b", "$1")
-    return c
+def collapse_repeats(c: Column) -> Column:
+    """Runs of 20 characters and more that stand twice in a row stand once, over and over until
+    nothing changes. Texts without such a run are looked at once; each turn takes at least 21
+    characters out, so there are at most so many turns as 21 goes into the length."""
+    twice = r"(\b.{20,}?)\s+\1\b"
+
+    def turn(state: Column, _: Column) -> Column:
+        less = F.regexp_replace(state["s"], twice, "$1")
+        return F.when(state["done"], state).otherwise(F.struct(less.alias("s"), (less == state["s"]).alias("done")))
+
+    turns = F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(F.length(c) / 21).cast("int")))
+    start = F.struct(c.alias("s"), F.lit(False).alias("done"))
+    return F.when(c.rlike(twice), F.aggregate(turns, start, turn)["s"]).otherwise(c)
 
 
 def fold_digits(c: Column) -> Column:
@@ -66,8 +74,8 @@ def header_key(c: Column) -> Column:
 
 
 def cache_key(*parts: Column) -> Column:
-    """SHA-256 of the parts with NUL between them."""
-    return F.sha2(F.concat_ws("\0", *parts), 256)
+    """SHA-256 of the parts with NUL between them; null parts count as empty."""
+    return F.sha2(F.concat_ws("\0", *[F.coalesce(p, F.lit("")) for p in parts]), 256)
 
 
 def safe_filename(url: Column) -> Column:

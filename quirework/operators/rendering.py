@@ -40,3 +40,12 @@ def html_bodies(blocks: DataFrame, opens: Column) -> DataFrame:
     got = b.withColumn("_part", part).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "_part"))).alias("p"), F.max(F.when(F.col("_event").isNotNull(), F.struct("ord", "_event"))).alias("e"))
     body = F.array_join(F.transform("p", lambda x: x["_part"]), "\n")
     return got.select("doc_id", F.concat(body, F.when(F.col("e._event"), CLOSE).otherwise("")).alias("html"))
+
+
+def html_document(title: Column, body: Column, notes: Column) -> Column:
+    """A whole page: its title, the body, and notes (JSON that may stand in a script)."""
+    name = escape_html(F.coalesce(title, F.lit("")))
+    return F.concat(
+        F.lit('<!DOCTYPE html>\n<html lang="fa" dir="rtl">\n<head><meta charset="utf-8"><title>'), name, F.lit("</title></head>\n<body>\n<header><h1>"), name,
+        F.lit("</h1></header>\n<main>\n"), body, F.lit('\n</main>\n<script type="application/json" id="notes">'), notes, F.lit("</script>\n</body>\n</html>"),
+    )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +27,7 @@ def multiset_difference(source: DataFrame, target: DataFrame, key: str) -> DataF
 
 def units_pattern() -> str:
     longest = sorted(P.UNITS, key=len, reverse=True)
-    return "(?<![A-Za-z])(?:" + "|".join(u.replace("°", "\\x{B0}") for u in longest) + ")(?![A-Za-z])"
+    return "(?<![A-Za-z])(?:" + "|".join(map(re.escape, longest)) + ")(?![A-Za-z])"
 
 
 def run_report(outcomes: DataFrame, key: str) -> DataFrame:
