@@ -46,15 +46,16 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
 
 
 def cut_pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, files: tuple[str, str, str], end_id: int) -> DataFrame:
-    """One row for each piece: all but a document's last have capacity tokens."""
+    """One row for each piece: all but a document's last have capacity tokens. place counts the
+    documents of a task, so that pieces alike in everything else differ."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, end = ByteBPE(*files), np.array([end_id], "<u4").tobytes()
+        model, end, rows = ByteBPE(*files), np.array([end_id], "<u4").tobytes(), 0
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                row, start, length, crc, total = [], [], [], [], []
+                row, start, length, crc, total, place = [], [], [], [], [], []
                 for i, text in enumerate(batch.column(1)):
                     ids = model.encode(text.as_py() or "") + end
                     n = len(ids) // 4
@@ -65,9 +66,11 @@ def cut_pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, files
                         length.append(len(part) // 4)
                         crc.append(zlib.crc32(part))
                         total.append(n)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), *[pa.array(x, pa.int64()) for x in (start, length, crc, total)]], names=["id", "start", "length", "ids_crc32", "doc_tokens"])
+                        place.append(rows + i)
+                rows += batch.num_rows
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), *[pa.array(x, pa.int64()) for x in (start, length, crc, total, place)]], names=["id", "start", "length", "ids_crc32", "doc_tokens", "place"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(scan, f"id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(scan, f"id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, place bigint")
 
 
 def pack(
@@ -82,9 +85,11 @@ def pack(
 ) -> DataFrame:
     """Every document's token ids and the end id, in pieces dealt to sequences of capacity tokens.
 
-    Documents are dealt to groups of about group_pieces pieces by a seeded hash of their id
-    and tokens; each group is packed by itself, first fit decreasing. Lengths, positions and
-    a checksum of the ids move, never the ids. Null texts are empty: the end id alone.
+    Pieces are dealt to groups of about group_pieces pieces by a seeded hash of all that is
+    known of them and their place, so neither a giant document nor many that are alike (null
+    ids, empty texts) meet in one; each group is packed by itself, first fit decreasing, of
+    equal lengths by id, start and checksum. Lengths, positions and a checksum of the ids
+    move, never the ids. Null texts are empty: the end id alone.
     Repeated rows are packed as often as they stand; rows with null ids too. Other columns
     are ignored; files are the tokenizer, its ranks and its pattern; an empty table gives no rows. sequence_id is the group times 2^32 plus the bin.
     """
@@ -96,9 +101,9 @@ def pack(
     def fill(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["length", "id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
         bins, offsets = first_fit_decreasing(group["length"].to_numpy(), capacity)
-        return group.assign(sequence_id=(group["grp"].to_numpy() << 32) + bins, offset=offsets).drop(columns="grp")
+        return group.assign(sequence_id=(group["grp"].to_numpy() << 32) + bins, offset=offsets).drop(columns=["grp", "place"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64(F.lit(seed), "id", "doc_tokens"), F.lit(groups)).cast("bigint"))
+    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64(F.lit(seed), "id", "doc_tokens", "start", "ids_crc32", "place"), F.lit(groups)).cast("bigint"))
     out = dealt.groupBy("grp").applyInPandas(fill, f"id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
     return out.withColumnRenamed("id", id_col)
