@@ -99,10 +99,11 @@ def mix_sources(
 
     Returns id, size, source_size, target, taken and the columns named in carry. Null texts
     have size 0 and take 0; a null source is one source, the last; rows with equal ids are
-    separate documents; an empty table gives no rows.
+    separate documents, told apart by a hash of their text, so reruns agree on ties too (rows
+    alike in id, size and text may swap); an empty table gives no rows.
     """
     kept = [c for c in (carry or []) if c not in (id_col, source_col)]
-    docs = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), size_in_words(F.col(text_col)).alias("size"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(kept)])
+    docs = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), size_in_words(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("_h"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(kept)])
     sizes = materialise(docs, "sizes")
     sources = materialise(capped_targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_docs")), cycle, share, cap), "sources")
     n_sources, n_docs, total, wanted = sources.agg(F.count("*"), F.sum("_docs"), F.sum("source_size"), F.sum("target")).first()
@@ -113,12 +114,12 @@ def mix_sources(
     sources = materialise(sainte_lague(sources, seats, "target", ["_one"], by_code, "_all").withColumnRenamed("quota", "_source_quota"), "quotas")
     dim = sources.select("source", "source_size", "target", "_shards", "_source_quota")
     placed = join_dimension(sizes, dim, "source", n_sources)
-    placed = placed.withColumn("_shard", F.pmod(F.xxhash64(F.lit(seed), "_id", "size"), F.col("_shards")).cast("int"))
+    placed = placed.withColumn("_shard", F.pmod(F.xxhash64(F.lit(seed), "_id", "size", "_h"), F.col("_shards")).cast("int"))
     tokens = placed.groupBy("source", "_shard", "source_size", "_source_quota").agg(F.sum("size").alias("_tokens"))
     tokens = materialise(tokens, "shards")
     quotas = sainte_lague(tokens, F.col("_source_quota"), "_tokens", ["source"], [F.col("_shard")], "source_size")
     quotas = quotas.select(F.col("source").alias("_s"), F.col("_shard").alias("_sh"), "_tokens", "quota")
-    line = Window.partitionBy("source", "_shard").orderBy(F.xxhash64(F.lit(seed + 1), "_id", "size"), "_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    line = Window.partitionBy("source", "_shard").orderBy(F.xxhash64(F.lit(seed + 1), "_id", "size", "_h"), "_id", "size", "_h").rowsBetween(Window.unboundedPreceding, 0)
     laid = placed.withColumn("_end", F.sum("size").over(line)).join(quotas, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_shard") == F.col("_sh")), "left")
     blocks = F.greatest(F.lit(1), F.ceil(F.col("_tokens") / block)).cast("bigint")
     quota = F.least(F.col("quota"), blocks * cap)
