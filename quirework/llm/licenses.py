@@ -20,15 +20,52 @@ from .shared import small_batches
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: (label, phrase) of the base: places where the words stand consecutively.
 PHRASES = (("gpl", "gnu general public license"), ("apache", "apache license"), ("cc-by", "cc by"), ("mit", "mit license"))
-#: (label, template) of the method.
+# The wording of whole licenses, and of the headers that refer to one.
+MIT_OPENING = "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files <<opt>>the software<</opt>> to deal in the software without restriction"
+MIT_REST = (
+    "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions "
+    "the above copyright notice and this permission notice <<opt>>including the next paragraph<</opt>> shall be included in all copies or substantial portions of the software "
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement "
+    "in no event shall <<var:6>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+)
+ISC = (
+    "permission to use copy modify and <<opt>>or<</opt>> distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies "
+    "the software is provided as is and <<var:6>> <<alt:disclaims|disclaim>> all warranties with regard to this software including all implied warranties of merchantability and fitness "
+    "in no event shall <<var:6>> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"
+)
+BSD_OPENING = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
+BSD_CONDITIONS = (
+    "<<opt>>1<</opt>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+    "<<opt>>2<</opt>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+)
+BSD_NAMES = "<<opt>>3<</opt>> neither the name of <<var:8>> nor the names of <<alt:its|their>> contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+BSD_DISCLAIMER = (
+    "this software is provided by <<var:8>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed "
+    "in no event shall <<var:8>> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption "
+    "however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+)
+APACHE_HEADER = (
+    "licensed under the apache license version 2 0 <<opt>>the license<</opt>> you may not use this file except in compliance with the license you may obtain a copy of the license at <<alt:http|https>> www apache org licenses license 2 0 "
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied "
+    "see the license for the specific language governing permissions and limitations under the license"
+)
+MPL_HEADER = "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at <<alt:http|https>> <<opt>>www<</opt>> mozilla org mpl 2 0"
+#: (label, template) of the method. What ends in -opening is the beginning of a license, whose rest
+#: may be altered; it scores half.
 TEMPLATES = (
+    ("mit", f"{MIT_OPENING} {MIT_REST}"),
+    ("mit-opening", MIT_OPENING),
+    ("isc", ISC),
+    ("bsd-2-clause", f"{BSD_OPENING} {BSD_CONDITIONS} {BSD_DISCLAIMER}"),
+    ("bsd-3-clause", f"{BSD_OPENING} {BSD_CONDITIONS} {BSD_NAMES} {BSD_DISCLAIMER}"),
+    ("bsd-opening", BSD_OPENING),
+    ("apache-2.0-header", APACHE_HEADER),
+    ("mpl-2.0-header", MPL_HEADER),
     ("gpl-3.0", "gnu general public license <<opt>>as published by the free software foundation<</opt>> <<opt>>either<</opt>> version 3 <<opt>>of the license<</opt>> <<opt>>0<</opt>> <<opt>>or <<opt>>at your option<</opt>> any later version<</opt>>"),
     ("gpl-2.0", "gnu general public license <<opt>>as published by the free software foundation<</opt>> <<opt>>either<</opt>> version 2 <<opt>>of the license<</opt>> <<opt>>0<</opt>> <<opt>>or <<opt>>at your option<</opt>> any later version<</opt>>"),
     ("lgpl", "gnu <<alt:lesser|library>> general public license <<opt>>version <<var:2>><</opt>>"),
     ("apache-2.0", "licensed under the apache license version 2 0 <<opt>>the license<</opt>>"),
     ("mit", "<<alt:released|licensed|distributed|available>> under the <<opt>>terms of the<</opt>> mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files <<opt>>the software<</opt>> to deal in the software without restriction"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("cc-by-nc-4.0", "<<opt>>licensed under <<opt>>a<</opt>><</opt>> <<alt:cc|creative commons>> <<alt:by|attribution>> <<alt:nc|noncommercial>> <<opt>>sa<</opt>> 4 0 <<opt>>international <<opt>>license<</opt>><</opt>>"),
     ("cc-by-4.0", "<<opt>>licensed under <<opt>>a<</opt>><</opt>> <<alt:cc|creative commons>> <<alt:by|attribution>> 4 0 <<opt>>international <<opt>>license<</opt>><</opt>>"),
     ("mpl-2.0", "subject to the terms of the mozilla public license <<opt>>v<</opt>> <<opt>>version<</opt>> 2 0"),
@@ -155,7 +192,8 @@ def scan_licenses(
     first_word and last_word: the smallest and largest start of these places, from 0, null
     without any; base_labels; labels: those and the templates', sorted, distinct, joined by
     commas; matches: the templates' places as label:first-end; score: the share of matched
-    wording that is mandatory, at its best template, or 0.5 for a phrase alone, else 0.
+    wording that is mandatory, at its best template (half for the opening of a license), or
+    0.5 for a phrase alone, else 0.
     Null and empty texts have no words and empty labels. Rows are independent, so nothing
     is shuffled; other columns are ignored; repeated rows stay; an empty table gives none.
     """
@@ -186,7 +224,7 @@ def scan_licenses(
                                     labels.add(label)
                             elif (end := automaton.match(words, at)) >= 0:
                                 matches.append((label, at, end))
-                                score = max(score, automaton.n_words / (end - at))
+                                score = max(score, automaton.n_words / (end - at) * (0.5 if label.endswith("-opening") else 1.0))
                 more = sorted(labels | {m[0] for m in matches})
                 rows.append((len(words), len(places), places[0] if places else None, places[-1] if places else None, ",".join(sorted(labels)), ",".join(more), ",".join(f"{a}:{s}-{e}" for a, s, e in matches), min(1.0, score) if matches else 0.5 if places else 0.0))
             kinds = [pa.int64()] * 4 + [pa.string()] * 3 + [pa.float64()]
