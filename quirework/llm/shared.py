@@ -77,21 +77,28 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def _with_least(pairs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
-    """pairs(u, v), n of them, with m, the smallest of each u and its partners; and the written
-    table behind it.
+def join_hubs(left: DataFrame, right: DataFrame, on: list[str], n: int, how: str = "inner") -> DataFrame:
+    """left, of n rows, joined with right, which has one row for each key and in column pairs how
+    many rows of left have it; pairs goes.
 
-    Nodes of more than HUB pairs are joined by broadcast, the rest by node, so no task gets a
-    hub's pairs. HUB grows with n: less than BROADCAST_ROWS nodes can have more.
+    Keys of more than HUB rows are joined by broadcast, the rest by key, so no task gets a
+    hub's rows. HUB grows with n: less than BROADCAST_ROWS keys can have more.
     """
-    low = materialise(pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("pairs")), "least")
     most = max(HUB, -(-n // BROADCAST_ROWS))
-    hubs = low.where(F.col("pairs") > most)
+    hubs = right.where(F.col("pairs") > most).drop("pairs")
+    rest = right.where(F.col("pairs") <= most).drop("pairs")
     if not hubs.limit(1).count():
-        return pairs.join(low.select("u", "m"), "u"), low
-    marked = pairs.join(F.broadcast(hubs.select("u", F.col("m").alias("hub"))), "u", "left")
-    rest = marked.where("hub is null").select("u", "v").join(low.where(F.col("pairs") <= most).select("u", "m"), "u")
-    return marked.where("hub is not null").select("u", "v", F.col("hub").alias("m")).unionByName(rest), low
+        return left.join(rest, on, how)
+    marked = left.join(F.broadcast(hubs.withColumn("_hub", F.lit(True))), on, "left")
+    others = marked.where("_hub is null").select(*left.columns).join(rest, on, how)
+    return marked.where("_hub").drop("_hub").unionByName(others)
+
+
+def _with_least(pairs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """pairs(u, v), n of them, with m, the smallest of each u and its partners; and the written
+    table behind it."""
+    low = materialise(pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("pairs")), "least")
+    return join_hubs(pairs, low, ["u"], n), low
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

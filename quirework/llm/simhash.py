@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, materialise, small_batches
+from .shared import components, join_hubs, materialise, small_batches
 
 BITS = 64
 #: Members of a bucket that one task compares; larger ones are split by further bits.
@@ -43,16 +43,19 @@ def fingerprint_words(words: list[bytes], shingle: int = 3, seed: int = 42, chun
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id_col and fp bigint (the 64 bits) of every whole text; null texts have no words."""
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, carry: dict | None = None) -> DataFrame:
+    """id_col, fp bigint (the 64 bits) and the columns of carry (name: bigint column) of every whole
+    text; null texts have no words."""
+    carry = carry or {}
+    more = list(carry)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.fromiter((fingerprint_words((t.as_py() or "").encode().lower().split()) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), *batch.columns[2:]], names=["id", "fp", *more])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(scan, f"id {kind}, fp bigint")
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), *[c.cast("bigint").alias(k) for k, c in carry.items()]).mapInArrow(scan, ", ".join([f"id {kind}", "fp bigint", *[f"{k} bigint" for k in more]]))
     return out.withColumnRenamed("id", id_col)
 
 
@@ -241,25 +244,59 @@ def dedup_simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """id, fingerprint (16 hex digits), component_id (smallest id reachable) of every document.
 
     Null and empty texts have fingerprint zero, which links like any other. Rows with equal
-    ids are separate documents of one id. Rows with a null id take the component of their
-    fingerprint, null if all its documents have none. Other columns are ignored; an empty
-    table gives no rows. Ids must be integers.
+    ids are separate documents of one id; rows with a null id are documents too, and have the
+    component of what they reach, null if nothing there has an id. Other columns are ignored;
+    an empty table gives no rows. Ids must be integers.
     """
     small_batches(docs.sparkSession)
     fps = materialise(fingerprints(docs, id_col, text_col), "fingerprints")
-    nodes = materialise(fps.groupBy("fp").agg(F.min(id_col).cast("bigint").alias("node")), "nodes")
-    # A null id has nothing to link by.
-    linked = links(nodes.where("node is not null"), distance)
-    comp = components(linked)
-    of_fp = nodes.join(comp, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    out = fps.join(of_fp, "fp", "left")
+    groups, n = group_fingerprints(fps, id_col, distance)
+    out = join_hubs(fps, groups.drop("group"), ["fp"], n)
     return out.select(F.col(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component_id").cast(docs.schema[id_col].dataType))
 
 
+def group_fingerprints(fps: DataFrame, id_col: str, distance: int) -> tuple[DataFrame, int]:
+    """For each fingerprint its group (the smallest fingerprint reachable), component_id (the smallest
+    id of the group, null if it has none) and pairs, its documents; and the number of all."""
+    nodes = materialise(fps.groupBy("fp").agg(F.min(id_col).cast("bigint").alias("first"), F.count("*").alias("pairs")), "nodes")
+    found = components(links(nodes.select("fp", F.col("fp").alias("node")), distance)).select(F.col("node").alias("fp"), F.col("component").alias("group"))
+    groups = materialise(nodes.join(found, "fp", "left").withColumn("group", F.coalesce("group", "fp")), "groups")
+    total, n = groups.agg(F.count("*"), F.sum("pairs")).first()
+    least = materialise(groups.groupBy("group").agg(F.min("first").alias("component_id"), F.count("*").alias("pairs")), "least")
+    marked = join_hubs(groups.select("group", "fp", F.col("pairs").alias("docs")), least, ["group"], total)
+    return materialise(marked.withColumnRenamed("docs", "pairs"), "groups"), n or 0
+
+
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3) -> DataFrame:
-    """docs with one document, the one with the smallest id, of each component; of rows
-    repeating that id one stays. Documents without an id stay."""
-    found = dedup_simhash(docs, id_col, text_col, distance)
-    later = found.where(F.col(id_col) > F.col("component_id")).select(id_col).distinct()
-    later = materialise(later, "later")
-    return docs.join(later, id_col, "left_anti")
+    """docs with one row of each component: that of the smallest id, of equal ids that of the smallest
+    hash of its text. Rows without an id come after all others. Of rows that repeat id and text
+    one stays.
+
+    Rows are told by id and 96 bits of hash of their text. Only keys move, and the texts of
+    rows that stand more than once; the keys that go are joined back.
+    """
+    small_batches(docs.sparkSession)
+    told = {"_h1": F.xxhash64(text_col), "_h2": F.hash(text_col).cast("bigint")}
+    fps = materialise(fingerprints(docs, id_col, text_col, told), "fingerprints")
+    groups, n = group_fingerprints(fps, id_col, distance)
+    rows = fps.groupBy(id_col, "fp", *told).agg(F.count("*").alias("_n"))
+    rows = materialise(join_hubs(rows, groups.drop("component_id"), ["fp"], n), "rows")
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), *told)
+    best = materialise(rows.groupBy("group").agg(F.min(key).alias("_first"), F.count("*").alias("pairs")), "best")
+    judged = join_hubs(rows, best, ["group"], n).select(id_col, *told, "_n", (key == F.col("_first")).alias("_stays"))
+    judged = materialise(judged, "judged")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("_i"), *[c.alias(k) for k, c in told.items()])
+
+    def among(left: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        k = keys.select(F.col(id_col).alias("_id"), *[F.col(c).alias("_k" + c) for c in told])
+        same = F.col("_i").eqNullSafe(F.col("_id"))
+        for c in told:
+            same = same & (F.col(c) == F.col("_k" + c))
+        return left.join(k, same, how)
+
+    first = among(keyed, judged.where("not _stays"), "left_anti")
+    again = judged.where("_stays and _n > 1")
+    if again.limit(1).count():
+        one = among(first, again, "left_semi").dropDuplicates(["_i", *told])
+        first = among(first, again, "left_anti").unionByName(one)
+    return first.select("row.*")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, materialise, release
+from .shared import components, join_hubs, materialise, release
 
 #: Vectors the cells are fitted on, at most: those with the smallest hashes; and their bytes.
 SAMPLE, SAMPLE_BYTES = 20_000, 32 << 20
@@ -364,8 +364,8 @@ def dedup_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
     else:
         counted = found.where("n > 0").groupBy(F.col("u").alias("node"), "code").agg(F.sum("n").alias("others"))
         nodes = nodes.join(counted, ["node", "code"], "left").join(components(found.where("n = 0").select("u", "v")), "node", "left")
-    nodes = materialise(nodes.select("code", "code2", (F.coalesce("others", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id")), "nodes")
+    nodes = materialise(nodes.select("code", "code2", F.col("mult").alias("pairs"), (F.coalesce("others", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id")), "nodes")
     release(one, *([] if found is None else [found]))
-    out = keyed.select("id", "code", "code2").join(nodes, ["code", "code2"], "left")
+    out = join_hubs(keyed.select("id", "code", "code2"), nodes, ["code", "code2"], nodes.agg(F.sum("pairs")).first()[0] or 0, "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").cast(kind).alias(id_col), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
