@@ -59,16 +59,16 @@ class Run:
 def translation_run(blocks: DataFrame, cache: DataFrame, ask: Provider, model: str, limit: int = 5, fails: Column | None = None) -> Run:
     """Translates blocks(doc_id, ord, id, page_number, type, content, in_run) with cache(key, model, source, value).
 
-    Titles, headings, paragraphs and references are jobs; references in a run of the
-    bibliography are kept as they are. The key is that of model, kind and text, and equal texts
+    Titles, headings, paragraphs and references are jobs, captions are jobs of a second pass with
+    a breaker of its own; references in a run of the bibliography are kept as they are. The key is that of model, kind and text, and equal texts
     are asked for once, by the first document that has them. A reply that asks for the text
     or is empty fails, as does a job for which fails holds; so many failures in a row in a
     document skip the rest of it. Replies are checked before the cache gets them, and those of
     skipped jobs are dropped. Blocks that were not translated keep their text.
     """
-    job = F.col("type").isin("title", "heading", "paragraph", "reference") & (strip(F.coalesce("content", F.lit(""))) != "")
+    job = F.col("type").isin("title", "heading", "paragraph", "reference", "figure_caption") & (strip(F.coalesce("content", F.lit(""))) != "")
     kept = job & (F.col("type") == "reference") & F.coalesce("in_run", F.lit(False))
-    kind = F.when(F.col("type") == "reference", "reference").otherwise("text")
+    kind = F.when(F.col("type") == "reference", "reference").when(F.col("type") == "figure_caption", "caption").otherwise("text")
     b = blocks.withColumns({"_kept": kept, "_job": job & ~kept, "_kind": kind})
     b = b.withColumn("key", F.when(F.col("_job"), cache_key(F.lit(model), F.col("_kind"), F.lit(""), F.col("content"))))
     known = cache.where("value is not null").groupBy("key").agg(F.min("value").alias("_cached"))
@@ -79,7 +79,7 @@ def translation_run(blocks: DataFrame, cache: DataFrame, ask: Provider, model: s
     value = F.coalesce("_cached", "_reply")
     error = F.when(fails if fails is not None else F.lit(False), "provider failed").when(asks_for_text(F.col("content"), value), "asked for the text").when(strip(F.coalesce(value, F.lit(""))) == "", "empty reply")
     jobs = jobs.withColumns({"value": value, "_error": error, "hit": F.col("_cached").isNotNull()})
-    jobs = circuit_breaker(jobs, ["doc_id"], ["ord"], F.col("_error").isNotNull(), limit)
+    jobs = circuit_breaker(jobs.withColumn("_pass", F.col("_kind") == "caption"), ["doc_id", "_pass"], ["ord"], F.col("_error").isNotNull(), limit)
     done = F.col("outcome") == "done"
     checked = done & (F.col("_kind") == "text") & F.col("type").isin("paragraph", "title")
     reason = F.when(F.col("outcome") == "skipped", "breaker open").when(F.col("outcome") == "failed", F.left("_error", F.lit(300)))

@@ -413,6 +413,17 @@ def test_second_run_only_hits(spark):
     assert [(r.failed, r.skipped, r.translated, r.breaker_open) for r in dead.report.collect()] == [(3, 3, 0, True)] * 2 and dead.cache.count() == 0
 
 
+def test_captions_are_a_second_pass(spark):
+    kinds = ["paragraph", "figure_caption", "paragraph", "figure_caption", "paragraph", "figure_caption", "table", "other"]
+    rows = [(1, k, f"b{k}", 1, kind, f"Figure {k}. The pulp {k}", False) for k, kind in enumerate(kinds)]
+    b = spark.createDataFrame(rows, "doc_id long, ord int, id string, page_number int, type string, content string, in_run boolean")
+    none = spark.createDataFrame([], "key string, model string, source string, value string")
+    run = translate.translation_run(b, none, provider.offline, "m", 2, F.col("type") == "paragraph")
+    assert [r.outcome for r in run.blocks.orderBy("ord").collect()] == ["failed", "done", "failed", "done", "skipped", "done", None, None]
+    assert [r.translated for r in run.blocks.where("type = 'figure_caption'").orderBy("ord").collect()] == ["شکل ۱. The پالپ 1", "شکل ۳. The پالپ 3", "شکل ۵. The پالپ 5"]
+    assert [(r.total, r.translated, r.failed, r.skipped, r.breaker_open, r.first_failures) for r in run.report.collect()] == [(6, 3, 2, 1, True, "b0,b2")]
+
+
 def plain_warnings(a, b):
     fold = str.maketrans(P.EASTERN_DIGITS, "01234567890123456789")
     (na, nb), (ua, ub) = [[Counter(re.findall(p, x.translate(fold))) for x in (a, b)] for p in [r"[0-9]+(?:[.,][0-9]+)?", "(?<![A-Za-z])(?:" + "|".join(sorted(P.UNITS, key=len, reverse=True)) + ")(?![A-Za-z])"]]
