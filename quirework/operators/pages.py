@@ -136,6 +136,11 @@ def reference_runs(blocks: DataFrame) -> DataFrame:
     return b.withColumn("in_run", ref & ((run >= 2) | F.col("in_section"))).drop("_island", "in_section")
 
 
+def figures_in_order(blocks: DataFrame, kind: str = "figure") -> DataFrame:
+    """The figures of each document with their number in its order."""
+    return blocks.where(F.col("type") == kind).withColumn("number", F.row_number().over(Window.partitionBy("doc_id").orderBy("ord")))
+
+
 def caption_number(content: Column) -> Column:
     """The number of a caption, null where content is none."""
     return F.when(content.rlike("(?iu)" + P.CAPTION), fold_digits(F.regexp_extract(content, "(?iu)" + P.CAPTION, 1)).try_cast("int"))

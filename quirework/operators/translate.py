@@ -137,3 +137,17 @@ def grid_html(rows: Column) -> Column:
     row = lambda cells, tag: F.array_join(F.transform(cells, lambda c: F.concat(F.lit(f"<{tag}>"), escape_html(c), F.lit(f"</{tag.split()[0]}>"))), "")
     body = F.array_join(F.transform(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), lambda r: F.concat(F.lit("<tr>"), row(r, "td"), F.lit("</tr>"))), "")
     return F.when(F.size(rows) > 0, F.concat(F.lit("<table><thead><tr>"), row(F.get(rows, 0), 'th scope="col"'), F.lit("</tr></thead><tbody>"), body, F.lit("</tbody></table>")))
+
+
+def parse_requests(requests: DataFrame, key: str, body: str) -> DataFrame:
+    """key, system, prompt and stream of JSON bodies with messages(role, content). A content is a
+    JSON list, of strings or of parts, whose texts are joined by lines; parts of a type other than
+    text have none. A body that is no JSON has null for all of them."""
+    seen = F.from_json(body, "messages array<struct<role:string,content:string>>, stream boolean")
+    text = lambda c: F.coalesce(F.from_json(c, "array<struct<type:string,text:string>>"), F.transform(F.from_json(c, "array<string>"), lambda x: F.struct(F.lit("text").alias("type"), x.alias("text"))))
+    said = lambda c: F.array_join(F.transform(F.filter(text(c), lambda p: F.coalesce(p["type"], F.lit("text")) == "text"), lambda p: p["text"]), "\n")
+    messages = F.transform(F.col("_r.messages"), lambda m: F.struct(m["role"].alias("role"), said(m["content"]).alias("text")))
+    of = lambda keep, show: F.array_join(F.transform(F.filter("_m", keep), show), "\n\n")
+    line = lambda m: F.when(m["role"] == "assistant", F.concat(F.lit("Assistant: "), m["text"])).otherwise(m["text"])
+    parsed = requests.withColumn("_r", seen).withColumn("_m", messages)
+    return parsed.select(key, of(lambda m: m["role"] == "system", lambda m: m["text"]).alias("system"), of(lambda m: m["role"] != "system", line).alias("prompt"), F.col("_r.stream").alias("stream"))

@@ -263,6 +263,24 @@ def number_warnings(spark, sf_dir):
     return b.where(F.size("w") > 0).select("doc_id", "ord", F.array_join("w", "\n").alias("warnings"))
 
 
+@query(SQL["message_flatten"])
+def request_scan(spark, sf_dir):
+    """Requests as JSON bodies, parsed and flattened. Carrier: conversations are the bodies' messages,
+    every other text as a list of parts, of which those of type text count."""
+    part = lambda kind, text: F.struct(F.lit(kind).alias("type"), text.alias("text"))
+    parts = F.to_json(F.array(part("image", F.lit("skip")), part("text", F.col("text"))))
+    content = F.when(F.col("turn") % 2 == 0, parts).otherwise(F.to_json(F.array("text")))
+    body = F.to_json(F.struct(F.array_sort(F.collect_list(F.struct("turn", "role", content.alias("content")))).alias("messages"), F.lit(False).alias("stream")))
+    bodies = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(body.alias("body"))
+    return translate.parse_requests(bodies, "conv_id", "body").drop("stream")
+
+
+@query(f"with {BLOCKS} select doc_id, ord, row_number() over (partition by doc_id order by ord) as number from blocks where type = 'table'")
+def figures_in_order(spark, sf_dir):
+    """Carrier: tables are figures."""
+    return pages.figures_in_order(blocks(spark, sf_dir), "table").select("doc_id", "ord", "number")
+
+
 @query(f"with {BLOCKS} select doc_id, ord from blocks where type in ('title', 'heading', 'paragraph', 'figure_caption', 'reference') and trim(content, ' ') <> ''")
 def translatable_blocks(spark, sf_dir):
     return blocks(spark, sf_dir).where(translate.translatable(F.col("type"), F.col("content"))).select("doc_id", "ord")
