@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 from ..functions.patterns import HYPHEN_BREAK
 
@@ -67,24 +67,26 @@ def figure_groups(figures: DataFrame, gap: int = 6) -> DataFrame:
     return figures.groupBy("doc_id", "page_number").applyInPandas(page, "doc_id bigint, page_number int, ord int, primary_ord int")
 
 
-def match_captions(blocks: DataFrame) -> DataFrame:
-    """Captions (type heading) and figures (type table) of a page, one to one: in reading order a
-    caption takes the figure of its number, else the nearest by height that is left."""
+def match_captions(blocks: DataFrame, caption_number: Column, figure_number: Column) -> DataFrame:
+    """Captions and figures of a page, one to one: in their order a caption takes the figure of its
+    number, else the nearest by height that is left. The numbers tell what a block is: captions
+    have a caption's number, figures (numbered or not) a figure's, -1 for none; others null."""
 
     def page(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("ord")
-        figures = rows[rows["type"] == "table"].to_dict("records")
+        figures = rows[rows["figure"].notna()].to_dict("records")
         found = []
-        for n, c in enumerate(rows[rows["type"] == "heading"].to_dict("records"), 1):
+        for c in rows[rows["caption"].notna()].to_dict("records"):
             if not figures:
                 break
             middle = lambda r: (r["y0"] + r["y1"]) / 2
-            best = min(figures, key=lambda f: (f["ord"] % 7 != n, abs(middle(f) - middle(c)), f["ord"]))
+            best = min(figures, key=lambda f: (f["figure"] != c["caption"], abs(middle(f) - middle(c)), f["ord"]))
             figures.remove(best)
             found.append((c["doc_id"], c["page_number"], c["ord"], best["ord"]))
         return pd.DataFrame(found, columns=["doc_id", "page_number", "caption_ord", "figure_ord"])
 
-    return blocks.groupBy("doc_id", "page_number").applyInPandas(page, "doc_id bigint, page_number int, caption_ord int, figure_ord int")
+    used = blocks.select("doc_id", "page_number", "ord", "y0", "y1", caption_number.cast("int").alias("caption"), figure_number.cast("int").alias("figure"))
+    return used.where("caption is not null or figure is not null").groupBy("doc_id", "page_number").applyInPandas(page, "doc_id bigint, page_number int, caption_ord int, figure_ord int")
 
 
 def drop_overlapping(images: DataFrame, share: float = 0.8) -> DataFrame:

@@ -359,14 +359,6 @@ def collapse_duplicates(spark, sf_dir):
     return blocks(spark, sf_dir).select("doc_id", "ord", t.collapse_repeats(F.col("content")).alias("content"))
 
 
-@query()
-def reference_split(spark, sf_dir):
-    """Rows only: the pattern looks around itself. Two entries of a bibliography in one block each."""
-    v = inline(spark, "(1, '12. A. Arys 1989. 13. G. Tomov 2017.'), (2, '[3] Simonsen R. See doi 10.1111/j.1600'), (3, 'No marker here')", "id", "content")
-    marked = F.regexp_replace("content", P.REFERENCE_SPLIT, "\x01$0\x02")
-    return v.select("id", F.posexplode(F.filter(F.split(marked, "\x01"), lambda x: x != "")).alias("position", "entry")).select("id", "position", F.regexp_extract("entry", "^\\D*(\\d+)\\D*\x02", 1).alias("number"), F.trim(F.regexp_replace("entry", "^.*\x02", "")).alias("text"))
-
-
 @query()
 def line_reflow(spark, sf_dir):
     """Rows only: each line is held against all that was merged before it."""
@@ -381,8 +373,11 @@ def figure_components(spark, sf_dir):
 
 @query()
 def caption_match(spark, sf_dir):
-    """Rows only: a greedy one-to-one match."""
-    return grouped.match_captions(blocks(spark, sf_dir))
+    """Rows only: a greedy one-to-one match. Carrier: headings are a page's captions, numbered in
+    order, tables its figures."""
+    head = F.col("type") == "heading"
+    n = F.count_if(head).over(Window.partitionBy("doc_id", "page_number").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
+    return grouped.match_captions(blocks(spark, sf_dir), F.when(head, n), F.when(F.col("type") == "table", F.col("ord") % 7))
 
 
 from . import exchange, structure, translation  # noqa: E402, F401  they register their queries here

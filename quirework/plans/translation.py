@@ -87,6 +87,13 @@ def reference_entries(spark, sf_dir):
     return references.bibliography(bibliographies(blocks(spark, sf_dir)))
 
 
+@query()
+def reference_split(spark, sf_dir):
+    """Tested against a plain version: each block cut into its numbered entries."""
+    x = references.entries_of_blocks(bibliographies(blocks(spark, sf_dir)))
+    return x.select("doc_id", "ord", "position", "id", "ref_number", "entry")
+
+
 @query()
 def figures_linked(spark, sf_dir):
     """Tested against a plain version. Carrier: tables are figures, short lines their captions."""

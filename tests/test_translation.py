@@ -139,6 +139,40 @@ def plain_entries(content):
     return [(None, before)] * bool(before) + out
 
 
+def test_reference_split(spark):
+    got = defaultdict(list)
+    for r in sorted(catalog.QUERIES["reference_split"](spark, SF).collect(), key=lambda r: r.position):
+        got[r.doc_id, r.ord].append((r.ref_number, r.entry, r.id))
+    cut = 0
+    for key, rows in by_document(translation.bibliographies(catalog.blocks(spark, SF))).items():
+        for r in rows:
+            found = plain_entries(r["content"])
+            want = [e for e in found if e[1]] if found and any(e[1] for e in found) else [(None, r["content"].strip())]
+            assert got[key, r["ord"]] == [(*e, r["id"] + (f"_ref{k + 1}" if k else "")) for k, e in enumerate(want)]
+            cut += len(want) > 1
+    assert cut > 100
+
+
+def test_captions_matched(spark):
+    got = defaultdict(list)
+    for r in catalog.QUERIES["caption_match"](spark, SF).collect():
+        got[r.doc_id, r.page_number].append((r.caption_ord, r.figure_ord))
+    pairs = 0
+    for key, rows in by_document(catalog.blocks(spark, SF)).items():
+        for page in {r["page_number"] for r in rows}:
+            here = [r for r in rows if r["page_number"] == page]
+            left, want = [r for r in here if r["type"] == "table"], []
+            for n, c in enumerate([r for r in here if r["type"] == "heading"], 1):
+                same = [f for f in left if f["ord"] % 7 == n]
+                near = sorted(same or left, key=lambda f: (abs(f["y0"] + f["y1"] - c["y0"] - c["y1"]), f["ord"]))
+                if near:
+                    left.remove(near[0])
+                    want.append((c["ord"], near[0]["ord"]))
+            assert sorted(got[key, page]) == want
+            pairs += len(want)
+    assert pairs
+
+
 def plain_bibliography(rows):
     inside, last, out = False, None, []
     for r in rows:
