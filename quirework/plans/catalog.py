@@ -380,4 +380,4 @@ def caption_match(spark, sf_dir):
     return grouped.match_captions(blocks(spark, sf_dir), F.when(head, n), F.when(F.col("type") == "table", F.col("ord") % 7))
 
 
-from . import exchange, structure, translation  # noqa: E402, F401  they register their queries here
+from . import exchange, structure, translation, articles  # noqa: E402, F401  they register their queries here
