@@ -15,8 +15,10 @@ alone the runs' bytes are fetched and compared string by string.
 
 A batch is cut by a few bits only; where there are more shards than that, further passes
 cut on, so the number of pieces grows with the input and not with its square. A K-byte
-string that very many different runs share makes its shard large: such a shard is split by
-the runs' codes, and its strings are compared by an aggregation over their own codes.
+string that very many different runs share is hot, and makes its shard large: such a shard is
+split by the runs' codes. Hot runs are cut into pieces by the distance from their anchor.
+Equal pieces are found by an aggregation, and only different ones that agree in what all
+their strings share are compared string by string, by an aggregation again if they are many.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import join_small, materialise, release, small_batches
+from .shared import join_hubs, join_small, materialise, release, small_batches
 
 #: Bytes whose code orders suffixes; bytes of text that are coded at once, and in one batch of the index.
 K, CHUNK, BATCH = 24, 1 << 19, 1 << 24
@@ -41,8 +43,10 @@ MASK = (1 << 64) - 1
 #: Bits of the code by which one pass cuts; suffixes that a pass holds at once.
 STEP_BITS, STEP_ROWS = 10, 400_000
 #: Suffixes of a shard beyond which it is split by the runs' codes, and runs beyond which
-#: those of one first code are compared by an aggregation.
-SHARD_ROWS, HOT_RUNS = 1 << 21, 50_000
+#: those of one first code are compared piece by piece.
+SHARD_ROWS, HOT_RUNS = 1 << 21, 1024
+#: Neighbouring strings that a hot run's pieces hold at most.
+PIECE = 16
 #: The columns of an array: two codes, the document (id and 127 bits of its digest), the
 #: run's first string, how many more it has, and how far from the first the anchor lies.
 FIELDS = {"g": np.uint64, "h": np.uint64, "id": np.int64, "th": np.int64, "tl": np.int64, "lo": np.int64, "more": np.uint8, "off": np.uint8}
@@ -418,30 +422,64 @@ def _compare(length: int):
     return compare
 
 
-def _fetch(length: int, hot: bool):
+#: dist: how far a piece's first string starts before the anchor; code: of its bytes; core: of g
+#: and of the bytes that all strings of a piece with its distance share; all null for a run as
+#: it is.
+PIECES = "g bigint, id bigint, th bigint, tl bigint, lo bigint, more int, dist int, code binary, core bigint, run binary"
+
+
+def _fetch(length: int, piece: int):
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The bytes of the open runs of each text; of hot ones each string's code instead."""
+        """The bytes of the open runs of each text, of hot ones in pieces."""
+        kinds = [pa.int64()] * 5 + [pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.binary()]
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
+            rows = []
             for key, th, tl, text, marks in zip(*(batch.column(c) for c in (*DOC, "text", "marks"))):
-                todo = [m for m in marks.as_py() or () if m["g"] is not None and m["hot"] == hot]
+                todo = [m for m in marks.as_py() or () if m["g"] is not None]
                 if not todo:
                     continue
                 raw, doc = (text.as_py() or "").encode(), (key.as_py(), th.as_py(), tl.as_py())
                 for m in todo:
-                    at, end = m["lo"], m["lo"] + m["more"] + length
-                    if hot:
-                        strings = [(k, hashlib.blake2b(raw[k : k + length], digest_size=16).digest()) for k in range(at, end - length + 1)]
-                    else:
-                        strings = [(at, raw[at:end])]
-                    for k, x in strings:
-                        for col, y in zip(out, (m["g"], *doc, k, x)):
-                            col.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == 5 else pa.int64()) for k, c in enumerate(out)], names=["g", *DOC, "lo", "run"])
+                    anchor, end, lo = m["lo"] + m["off"], m["lo"] + m["more"], m["lo"]
+                    if not m["hot"]:
+                        rows.append((m["g"], *doc, lo, m["more"], None, None, None, raw[lo : end + length]))
+                        continue
+                    while lo <= end:
+                        least = (anchor - lo) // piece * piece
+                        last = min(end, anchor - least)
+                        run = raw[lo : last + length]
+                        shared = raw[anchor - least : anchor - least - piece + 1 + length]
+                        core = hashlib.blake2b(struct.pack(">qq", m["g"], least) + shared, digest_size=8).digest()
+                        rows.append((m["g"], *doc, lo, last - lo, anchor - lo, hashlib.blake2b(run, digest_size=16).digest(), struct.unpack(">q", core)[0], run))
+                        lo = last + 1
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=[f.split()[0] for f in PIECES.split(", ")])
 
     return fetch
 
 
+def _later(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with later: whether an earlier place has the same keys. Hot keys are joined apart."""
+    place = F.struct(*DOC, "lo")
+    first = materialise(rows.groupBy(*keys).agg(F.min(place).alias("_first"), F.count("*").alias("pairs")), "first")
+    n = first.agg(F.sum("pairs")).first()[0] or 0
+    return join_hubs(rows, first, keys, n).withColumn("later", place != F.col("_first")).drop("_first")
+
+
+def compare_pieces(pieces: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """Ends (DOC, lo, more) that are certain, and what is left to be compared as runs of core."""
+    pieces = materialise(_later(pieces, ["g", "dist", "more", "code"]), "pieces")
+    ends = pieces.where("later").select(*DOC, "lo", "more")
+    other = pieces.where("not later").drop("later", "g")
+    counts = materialise(other.groupBy("core").agg(F.count("*").alias("pairs")).withColumn("many", F.col("pairs") > HOT_RUNS), "cores")
+    other = materialise(join_hubs(other, counts, ["core"], counts.agg(F.sum("pairs")).first()[0] or 0), "pieces")
+    if counts.where("many").limit(1).count():
+        at = other.where("many").select("core", *DOC, "lo", "dist", "run", F.explode(F.sequence(F.lit(0), "more")).alias("k"))
+        string = F.md5(F.substring("run", F.col("k") + 1, F.lit(length)))
+        strings = materialise(at.select("core", (F.col("dist") - F.col("k")).alias("dist"), string.alias("code"), *DOC, (F.col("lo") + F.col("k")).alias("lo")), "strings")
+        ends = ends.unionByName(_later(strings, ["core", "dist", "code"]).where("later").select(*DOC, "lo", F.lit(0).alias("more")))
+    return ends, other.where("not many").select(F.col("core").alias("g"), *DOC, "lo", "run")
+
+
 def _cut(length: int, position: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -505,17 +543,16 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = source.select("given", "id", *told, "text")
     marked = texts.join(per_doc, DOC, "left").select("given", *DOC, "text", "marks")
 
-    def fetched(hot: bool) -> DataFrame:
-        runs = marked.mapInArrow(_fetch(length, hot), "g bigint, id bigint, th bigint, tl bigint, lo bigint, run binary")
-        # A repeated row is no earlier document.
-        return runs.dropDuplicates(["g", *DOC, "lo"]) if checked else runs
-
-    ends = fetched(False).repartition("g").sortWithinPartitions("g", *DOC, "lo").mapInArrow(_compare(length), "id bigint, th bigint, tl bigint, lo bigint, more int")
+    fetched, certain = marked.mapInArrow(_fetch(length, PIECE), PIECES), None
+    if checked:  # a repeated row is no earlier document
+        fetched = fetched.dropDuplicates(["g", *DOC, "lo"])
+    runs = fetched.select("g", *DOC, "lo", "run")
     if marks.where("hot").limit(1).count():
-        strings = materialise(fetched(True), "strings")
-        first = strings.groupBy("g", "run").agg(F.min(F.struct(*DOC, "lo")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-        again = strings.join(first, ["g", "run"]).where(F.struct(*DOC, "lo") != F.col("first"))
-        ends = ends.unionByName(again.select(*DOC, "lo", F.lit(0).alias("more")))
+        fetched = materialise(fetched, "runs")
+        certain, left = compare_pieces(fetched.where("dist is not null"), length)
+        runs = fetched.where("dist is null").select("g", *DOC, "lo", "run").unionByName(left)
+    ends = runs.repartition("g").sortWithinPartitions("g", *DOC, "lo").mapInArrow(_compare(length), "id bigint, th bigint, tl bigint, lo bigint, more int")
+    ends = ends if certain is None else ends.unionByName(certain)
     ends = ends.groupBy(*DOC).agg(F.collect_list(F.struct("lo", "more")).alias("ends"))
     both = marked.join(ends, DOC, "left").select("given", "text", "marks", "ends")
     out = both.mapInArrow(_cut(length, 0), f"given {kind.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, spans array<struct<start:bigint,stop:bigint>>, kept binary")
