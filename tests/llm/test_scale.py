@@ -66,7 +66,7 @@ def test_equal_and_null_ids_lose_nothing(spark):
 
 @pytest.mark.parametrize(("step_bits", "shard_rows", "hot_runs"), [(2, 1 << 21, 1024), (1, 1 << 21, 2), (2, 40, 1024), (10, 10, 1), (10, 1 << 21, 30)])
 def test_passes_large_shards_and_hot_codes(spark, monkeypatch, step_bits, shard_rows, hot_runs):
-    for name, value in (("STEP_BITS", step_bits), ("SHARD_ROWS", shard_rows), ("HOT_RUNS", hot_runs), ("STEP_ROWS", 64)):
+    for name, value in (("STEP_BITS", step_bits), ("SHARD_ROWS", shard_rows), ("HOT_RUNS", hot_runs), ("HOT_PIECES", hot_runs), ("STEP_ROWS", 64)):
         monkeypatch.setattr(suffixes, name, value)
     rng = np.random.default_rng(12)
     word = lambda n: "".join(rng.choice(list("abcdef"), n))
