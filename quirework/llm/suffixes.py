@@ -44,10 +44,10 @@ MASK = (1 << 64) - 1
 STEP_BITS, STEP_ROWS = 10, 400_000
 #: Suffixes of a shard beyond which it is split by the runs' codes, and runs beyond which
 #: those of one first code are compared piece by piece.
-SHARD_ROWS, HOT_RUNS = 1 << 21, 2000
+SHARD_ROWS, HOT_RUNS = 1 << 21, 1000
 #: Neighbouring strings that a hot run's pieces hold at most; pieces alike in what their strings
 #: share beyond which the strings are told by their codes.
-PIECE, HOT_PIECES = 16, 512
+PIECE, HOT_PIECES = 16, 400
 #: The columns of an array: two codes, the document (id and 127 bits of its digest), the
 #: run's first string, how many more it has, and how far from the first the anchor lies.
 FIELDS = {"g": np.uint64, "h": np.uint64, "id": np.int64, "th": np.int64, "tl": np.int64, "lo": np.int64, "more": np.uint8, "off": np.uint8}
