@@ -6,9 +6,10 @@ those, and so on until a level takes nothing wrongly. Over that key universe the
 cascade answers membership exactly, with no join against the corpus: each key asks
 the levels in turn, and the first level that denies it settles the answer.
 
-A level is one literal of bounded size, held once by a task. A longer list is split into
-shards by the keys' hash, each with a cascade of its own; where the shards do not fit into
-one pass over the corpus, passes follow each other.
+A level is one value of bounded size, held once by a task: a literal if it is small, else
+the one row of a written table, read as a scalar subquery, so plans stay short. A longer list is
+split into shards by the keys' hash, each with a cascade of its own; where the shards, or the
+shapes of keys, do not fit into one pass over the corpus, passes follow each other.
 """
 
 from __future__ import annotations
@@ -22,11 +23,12 @@ from .shared import ascii_lower, materialise, release
 
 #: (rule, action) of the production query: host, then the path's first characters.
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
-#: Bytes of a shard's first level, some 7 million keys; shards that one pass over the corpus asks.
-LEVEL_BYTES, SHARDS_A_PASS = 1 << 24, 4
+#: Bytes of a shard's first level, some 3.6 million keys, and of a level that is a literal; shards
+#: and shapes of keys that one pass over the corpus asks.
+LEVEL_BYTES, LITERAL_BYTES, SHARDS_A_PASS, SHAPES_A_PASS = 1 << 23, 1 << 14, 2, 16
 #: Bits in a byte of a level: bytes below 128 are characters, which Spark reads at any place.
 BYTE = 7
-#: Bytes of a level that the driver gets as one row.
+#: Bytes of a level that are put together at once.
 CHUNK = 1 << 16
 FIRST_BITS, BITS = 16.0, 3.0
 
@@ -67,15 +69,18 @@ def _level(keys: DataFrame, n: int, bits_per_key: float, hashes: int, depth: int
     slots = keys.select(F.explode(F.array(*_slots(F.col("key"), bits, hashes, depth))).alias("slot"))
     slots = slots.select(F.floor(F.col("slot") / BYTE).alias("at"), F.call_function("shiftleft", F.lit(1), (F.col("slot") % BYTE).cast("int")).alias("bit"))
     found = slots.groupBy("at").agg(F.bit_or("bit").alias("byte")).select(F.floor(F.col("at") / CHUNK).alias("chunk"), (F.col("at") % CHUNK).cast("int").alias("at"), "byte")
-    # The driver gets a level, bounded whatever the corpus, as hexadecimal digits of CHUNK bytes a row.
     before = F.lag("at", 1, -1).over(Window.partitionBy("chunk").orderBy("at"))
     digits = F.concat(F.repeat(F.lit("00"), F.col("at") - before - 1), F.lpad(F.hex("byte"), 2, "0"))
-    rows = found.withColumn("digits", digits).groupBy("chunk").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "digits"))), lambda x: x["digits"]), "").alias("digits"))
-    level = bytearray(size)
-    for chunk, text in rows.collect():
-        part = bytes.fromhex(text)
-        level[chunk * CHUNK : chunk * CHUNK + len(part)] = part
-    return F.lit(bytes(level)), bits, hashes
+    join = lambda rows, by: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(by, rows))), lambda x: x[rows]), "")
+    rows = found.withColumn("digits", digits).groupBy("chunk").agg(join("digits", "at").alias("digits"))
+    # A level's hexadecimal digits, chunk by chunk, those without any key too.
+    chunks = keys.sparkSession.range(-(-size // CHUNK)).withColumnRenamed("id", "chunk")
+    full = 2 * F.least(F.lit(CHUNK), F.lit(size) - F.col("chunk") * CHUNK).cast("int")
+    whole = chunks.join(rows, "chunk", "left").select("chunk", F.rpad(F.coalesce("digits", F.lit("")), full, F.lit("0")).alias("digits"))
+    level = whole.agg(F.unhex(join("digits", "chunk")).alias("level"))
+    if size <= LITERAL_BYTES:
+        return F.lit(bytes(level.first()[0])), bits, hashes
+    return materialise(level, "level").scalar(), bits, hashes
 
 
 def build_cascade(listed: DataFrame, universe: DataFrame, first_bits: float = FIRST_BITS, bits: float = BITS, max_depth: int = 40) -> Cascade:
@@ -140,13 +145,11 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return F.coalesce(host, F.lit("")), F.coalesce(path, F.lit(""))
 
 
-def candidate_keys(host: Column, path: Column, shapes: list[tuple[int, int]]) -> Column:
-    """Every rule that could fit: shapes are the numbers of host labels and path characters
-    that rules have, so there are no more keys than shapes, however long the url."""
+def candidate_keys(host: Column, path: Column, shapes: list[tuple[int, int]]) -> list[Column]:
+    """Every rule that could fit, null where the url is too short: shapes are the numbers of host
+    labels and path characters that rules have, so there is a key for each, however long the url."""
     labels = F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
-    asked = F.array(*[F.struct(F.lit(h).alias("h"), F.lit(p).alias("p")) for h, p in shapes]) if shapes else F.array().cast("array<struct<h:int,p:int>>")
-    fits = F.filter(asked, lambda s: (host != "") & (s["h"] <= labels) & (s["p"] <= F.length(path)))
-    return F.transform(fits, lambda s: F.concat(F.call_function("substring_index", host, F.lit("."), -s["h"]), F.substring(path, F.lit(1), s["p"])))
+    return [F.when((host != "") & (labels >= h) & (F.length(path) >= p), F.concat(F.substring_index(host, ".", -h), F.substring(path, 1, p))) for h, p in shapes]
 
 
 def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
@@ -170,23 +173,21 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     host, path = url_parts(F.col(url))
     split = pages.withColumns({"host": host, "path": path})
     keys = candidate_keys(F.col("host"), F.col("path"), shapes)
-    universe = split.select("host", "path").select(F.explode(keys).alias("key"))
+    universe = split.select("host", "path").select(F.explode(F.array(*keys) if keys else F.array().cast("array<string>")).alias("key")).where("key is not null")
     asked = [(action, *shard) for action in ("block", "allow") for shard in build_shards(rules.where(F.col("action") == action).select(F.col("rule").alias("key")), universe)]
     out = split.withColumn("_best", F.lit(None).cast("struct<n:int,rule:string,action:string>"))
-    for at in range(0, len(asked), SHARDS_A_PASS):
-        some, done = asked[at : at + SHARDS_A_PASS], out
-
-        def action_of(key: Column, some: list = some) -> Column:
-            found = F.lit(None).cast("string")
-            for action, cascade, k, shards in reversed(some):
+    turns = [(asked[i : i + SHARDS_A_PASS], keys[j : j + SHAPES_A_PASS]) for i in range(0, len(asked), SHARDS_A_PASS) for j in range(0, len(keys), SHAPES_A_PASS)]
+    for turn, (some, part) in enumerate(turns):
+        done, hits = out, [F.col("_best")]
+        for key in part:
+            action = F.lit(None).cast("string")
+            for name, cascade, k, shards in reversed(some):
                 mine = F.lit(True) if shards == 1 else _shard(key, shards) == k
-                found = F.when(mine & cascade.contains(key), action).otherwise(found)
-            return found
-
-        hits = F.filter(F.transform(keys, lambda k: F.struct(F.length(k).alias("n"), k.alias("rule"), action_of(k).alias("action"))), lambda x: x["action"].isNotNull())
+                action = F.when(mine & cascade.contains(key), name).otherwise(action)
+            hits.append(F.when(key.isNotNull() & action.isNotNull(), F.struct(F.length(key).alias("n"), key.alias("rule"), action.alias("action"))))
         # Of equal lengths the rules are equal, and each has one action.
-        out = out.withColumn("_best", F.greatest(F.col("_best"), F.array_max(hits)))
-        if at + SHARDS_A_PASS < len(asked):
+        out = out.withColumn("_best", F.greatest(*hits))
+        if turn + 1 < len(turns):
             out = materialise(out, "judged")
             release(done)
     return out.withColumns({"rule": F.col("_best.rule"), "verdict": F.coalesce(F.col("_best.action"), F.lit(default))}).drop("_best")
