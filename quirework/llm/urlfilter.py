@@ -6,10 +6,10 @@ those, and so on until a level takes nothing wrongly. Over that key universe the
 cascade answers membership exactly, with no join against the corpus: each key asks
 the levels in turn, and the first level that denies it settles the answer.
 
-A level is one value of bounded size, held once by a task: a literal if it is small, else
-the one row of a written table, read as a scalar subquery, so plans stay short. A longer list is
-split into shards by the keys' hash, each with a cascade of its own; where the shards, or the
-shapes of keys, do not fit into one pass over the corpus, passes follow each other.
+A level is one literal of bounded size. A longer list is split into shards by the keys' hash,
+each with a cascade of its own; where the shards do not fit into one pass over the corpus,
+passes follow each other. An expression names a level once, as the argument of a function
+over all its uses, so that neither plans nor tasks hold it more often.
 """
 
 from __future__ import annotations
@@ -23,9 +23,8 @@ from .shared import ascii_lower, materialise, release
 
 #: (rule, action) of the production query: host, then the path's first characters.
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
-#: Bytes of a shard's first level, some 3.6 million keys, and of a level that is a literal; shards
-#: and shapes of keys that one pass over the corpus asks.
-LEVEL_BYTES, LITERAL_BYTES, SHARDS_A_PASS, SHAPES_A_PASS = 1 << 23, 1 << 14, 2, 16
+#: Bytes of a shard's first level, some 1.8 million keys; shards that one pass over the corpus asks.
+LEVEL_BYTES, SHARDS_A_PASS = 1 << 22, 2
 #: Bits in a byte of a level: bytes below 128 are characters, which Spark reads at any place.
 BYTE = 7
 #: Bytes of a level that are put together at once.
@@ -41,10 +40,17 @@ class Cascade:
 
     def contains(self, key: Column) -> Column:
         """Exact for listed keys and for every key of the universe the cascade was built over."""
+        return F.exists(F.array(self.bundle()), lambda held: self.within(held, key))
+
+    def bundle(self) -> Column:
+        return F.struct(*[level.alias(f"l{k}") for k, (level, _, _) in enumerate(self.levels)], F.lit(0).alias("none"))
+
+    def within(self, held: Column, key: Column) -> Column:
+        """contains, with the levels in held, which bundle gave."""
         out = F.lit(len(self.levels) % 2 == 1)
         for depth in reversed(range(len(self.levels))):
-            level, bits, hashes = self.levels[depth]
-            hit = _might_contain(key, level, bits, hashes, depth)
+            _, bits, hashes = self.levels[depth]
+            hit = _might_contain(key, held[f"l{depth}"], bits, hashes, depth)
             out = F.when(hit, out).otherwise(F.lit(depth % 2 == 1))
         return F.coalesce(out, F.lit(False))
 
@@ -63,6 +69,11 @@ def _might_contain(key: Column, level: Column, bits: int, hashes: int, depth: in
     return out
 
 
+def _passing(keys: DataFrame, level: Column, bits: int, hashes: int, depth: int) -> DataFrame:
+    """keys(key) that a level may contain."""
+    return keys.where(F.exists(F.array(level), lambda held: _might_contain(F.col("key"), held, bits, hashes, depth))).select("key")
+
+
 def _level(keys: DataFrame, n: int, bits_per_key: float, hashes: int, depth: int) -> tuple[Column, int, int]:
     size = max(1, -(-int(max(1, n) * bits_per_key) // BYTE))
     bits = BYTE * size
@@ -78,9 +89,8 @@ def _level(keys: DataFrame, n: int, bits_per_key: float, hashes: int, depth: int
     full = 2 * F.least(F.lit(CHUNK), F.lit(size) - F.col("chunk") * CHUNK).cast("int")
     whole = chunks.join(rows, "chunk", "left").select("chunk", F.rpad(F.coalesce("digits", F.lit("")), full, F.lit("0")).alias("digits"))
     level = whole.agg(F.unhex(join("digits", "chunk")).alias("level"))
-    if size <= LITERAL_BYTES:
-        return F.lit(bytes(level.first()[0])), bits, hashes
-    return materialise(level, "level").scalar(), bits, hashes
+    # The driver gets one level, bounded whatever the list and the corpus.
+    return F.lit(bytes(level.first()[0])), bits, hashes
 
 
 def build_cascade(listed: DataFrame, universe: DataFrame, first_bits: float = FIRST_BITS, bits: float = BITS, max_depth: int = 40) -> Cascade:
@@ -97,7 +107,7 @@ def build_cascade(listed: DataFrame, universe: DataFrame, first_bits: float = FI
         return cascade
     cascade.levels.append(_level(listed, n, first_bits, max(1, round(first_bits * 0.69)), 0))
     level, size, hashes = cascade.levels[0]
-    passed = universe.where("key is not null").select("key").where(_might_contain(F.col("key"), level, size, hashes, 0))
+    passed = _passing(universe.where("key is not null"), level, size, hashes, 0)
     marked = listed.withColumn("own", F.lit(1)).unionByName(passed.withColumn("own", F.lit(0)))
     # within: the keys the newest level encodes; without: those it must not take for its own.
     within, without = listed, materialise(marked.groupBy("key").agg(F.max("own").alias("own")).where("own = 0").select("key"), "passed")
@@ -106,7 +116,7 @@ def build_cascade(listed: DataFrame, universe: DataFrame, first_bits: float = FI
         depth = len(cascade.levels)
         cascade.levels.append(_level(without, m, bits, max(1, round(bits * 0.69)), depth))
         level, size, hashes = cascade.levels[-1]
-        wrong = within.where(_might_contain(F.col("key"), level, size, hashes, depth))
+        wrong = _passing(within, level, size, hashes, depth)
         within, without = without, materialise(wrong, "passed")
         done.append(without)
     if m:
@@ -145,11 +155,13 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return F.coalesce(host, F.lit("")), F.coalesce(path, F.lit(""))
 
 
-def candidate_keys(host: Column, path: Column, shapes: list[tuple[int, int]]) -> list[Column]:
-    """Every rule that could fit, null where the url is too short: shapes are the numbers of host
-    labels and path characters that rules have, so there is a key for each, however long the url."""
+def candidate_keys(host: Column, path: Column, shapes: list[tuple[int, int]]) -> Column:
+    """Every rule that could fit: shapes are the numbers of host labels and path characters
+    that rules have, so there are no more keys than shapes, however long the url."""
     labels = F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
-    return [F.when((host != "") & (labels >= h) & (F.length(path) >= p), F.concat(F.substring_index(host, ".", -h), F.substring(path, 1, p))) for h, p in shapes]
+    asked = F.array(*[F.struct(F.lit(h).alias("h"), F.lit(p).alias("p")) for h, p in shapes]) if shapes else F.array().cast("array<struct<h:int,p:int>>")
+    fits = F.filter(asked, lambda s: (host != "") & (s["h"] <= labels) & (s["p"] <= F.length(path)))
+    return F.transform(fits, lambda s: F.concat(F.call_function("substring_index", host, F.lit("."), -s["h"]), F.substring(path, F.lit(1), s["p"])))
 
 
 def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
@@ -173,21 +185,24 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     host, path = url_parts(F.col(url))
     split = pages.withColumns({"host": host, "path": path})
     keys = candidate_keys(F.col("host"), F.col("path"), shapes)
-    universe = split.select("host", "path").select(F.explode(F.array(*keys) if keys else F.array().cast("array<string>")).alias("key")).where("key is not null")
+    universe = split.select("host", "path").select(F.explode(keys).alias("key"))
     asked = [(action, *shard) for action in ("block", "allow") for shard in build_shards(rules.where(F.col("action") == action).select(F.col("rule").alias("key")), universe)]
     out = split.withColumn("_best", F.lit(None).cast("struct<n:int,rule:string,action:string>"))
-    turns = [(asked[i : i + SHARDS_A_PASS], keys[j : j + SHAPES_A_PASS]) for i in range(0, len(asked), SHARDS_A_PASS) for j in range(0, len(keys), SHAPES_A_PASS)]
-    for turn, (some, part) in enumerate(turns):
-        done, hits = out, [F.col("_best")]
-        for key in part:
+    for at in range(0, len(asked), SHARDS_A_PASS):
+        some, done = asked[at : at + SHARDS_A_PASS], out
+
+        def action_of(held: Column, key: Column, some: list = some) -> Column:
             action = F.lit(None).cast("string")
-            for name, cascade, k, shards in reversed(some):
+            for i, (name, cascade, k, shards) in reversed([*enumerate(some)]):
                 mine = F.lit(True) if shards == 1 else _shard(key, shards) == k
-                action = F.when(mine & cascade.contains(key), name).otherwise(action)
-            hits.append(F.when(key.isNotNull() & action.isNotNull(), F.struct(F.length(key).alias("n"), key.alias("rule"), action.alias("action"))))
+                action = F.when(mine & cascade.within(held[f"c{i}"], key), name).otherwise(action)
+            return action
+
+        bundles = F.struct(*[cascade.bundle().alias(f"c{i}") for i, (_, cascade, _, _) in enumerate(some)])
+        hits = F.transform(F.array(bundles), lambda held: F.array_max(F.filter(F.transform(keys, lambda k: F.struct(F.length(k).alias("n"), k.alias("rule"), action_of(held, k).alias("action"))), lambda x: x["action"].isNotNull())))
         # Of equal lengths the rules are equal, and each has one action.
-        out = out.withColumn("_best", F.greatest(*hits))
-        if turn + 1 < len(turns):
+        out = out.withColumn("_best", F.greatest(F.col("_best"), F.get(hits, F.lit(0))))
+        if at + SHARDS_A_PASS < len(asked):
             out = materialise(out, "judged")
             release(done)
     return out.withColumns({"rule": F.col("_best.rule"), "verdict": F.coalesce(F.col("_best.action"), F.lit(default))}).drop("_best")
