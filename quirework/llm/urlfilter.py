@@ -27,7 +27,7 @@ RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/"
 LEVEL_BYTES, SHARDS_A_PASS = 1 << 22, 2
 #: Bits in a byte of a level: bytes below 128 are characters, which Spark reads at any place.
 BYTE = 7
-#: Bytes of a level that are put together at once.
+#: Bytes of a level that the driver gets as one row.
 CHUNK = 1 << 16
 FIRST_BITS, BITS = 16.0, 3.0
 
@@ -82,15 +82,14 @@ def _level(keys: DataFrame, n: int, bits_per_key: float, hashes: int, depth: int
     found = slots.groupBy("at").agg(F.bit_or("bit").alias("byte")).select(F.floor(F.col("at") / CHUNK).alias("chunk"), (F.col("at") % CHUNK).cast("int").alias("at"), "byte")
     before = F.lag("at", 1, -1).over(Window.partitionBy("chunk").orderBy("at"))
     digits = F.concat(F.repeat(F.lit("00"), F.col("at") - before - 1), F.lpad(F.hex("byte"), 2, "0"))
-    join = lambda rows, by: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(by, rows))), lambda x: x[rows]), "")
-    rows = found.withColumn("digits", digits).groupBy("chunk").agg(join("digits", "at").alias("digits"))
-    # A level's hexadecimal digits, chunk by chunk, those without any key too.
-    chunks = keys.sparkSession.range(-(-size // CHUNK)).withColumnRenamed("id", "chunk")
-    full = 2 * F.least(F.lit(CHUNK), F.lit(size) - F.col("chunk") * CHUNK).cast("int")
-    whole = chunks.join(rows, "chunk", "left").select("chunk", F.rpad(F.coalesce("digits", F.lit("")), full, F.lit("0")).alias("digits"))
-    level = whole.agg(F.unhex(join("digits", "chunk")).alias("level"))
-    # The driver gets one level, bounded whatever the list and the corpus.
-    return F.lit(bytes(level.first()[0])), bits, hashes
+    pieces = F.transform(F.array_sort(F.collect_list(F.struct("at", "digits"))), lambda x: x["digits"])
+    rows = found.withColumn("digits", digits).groupBy("chunk").agg(F.array_join(pieces, "").alias("digits"))
+    # The driver gets one level, bounded whatever the list and the corpus, CHUNK bytes a row.
+    level = bytearray(size)
+    for chunk, text in rows.collect():
+        part = bytes.fromhex(text)
+        level[chunk * CHUNK : chunk * CHUNK + len(part)] = part
+    return F.lit(bytes(level)), bits, hashes
 
 
 def build_cascade(listed: DataFrame, universe: DataFrame, first_bits: float = FIRST_BITS, bits: float = BITS, max_depth: int = 40) -> Cascade:
